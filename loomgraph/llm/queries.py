@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomgraph.llm import secrets
 from loomgraph.llm.ngram_join import ngram_jaccard_components
+from loomgraph.llm.packing import pack_documents
+from loomgraph.llm.spans import base_of, count_of, listed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +19,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """Where the tokenizer of the packing query is installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0, keep_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[count_of(spans, k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
+        F.sha2(listed(base_of(spans), secrets.KINDS), 256).alias("base_sha256"),
+        listed(spans, secrets.KINDS).alias("spans"),
+    )
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_ngram_jaccard,)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
