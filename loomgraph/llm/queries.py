@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import secrets
+from loomgraph.llm import pii, secrets
 from loomgraph.llm.ngram_join import ngram_jaccard_components
 from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.spans import base_of, count_of, listed
@@ -31,22 +31,31 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def span_digests(found: DataFrame, base_kinds: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
+    """Counts of base spans, their digest, and all spans listed."""
     spans = F.col("spans")
-    return secrets.find_secrets(table(spark, sf_dir, "documents")).select(
+    return found.select(
         "doc_id",
-        *[count_of(spans, k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
-        F.sha2(listed(base_of(spans), secrets.KINDS), 256).alias("base_sha256"),
-        listed(spans, secrets.KINDS).alias("spans"),
+        *[count_of(spans, k).alias(f"n_{k}") for k in base_kinds],
+        F.sha2(listed(base_of(spans), kinds), 256).alias("base_sha256"),
+        listed(spans, kinds).alias("spans"),
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE_KINDS, secrets.KINDS)
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.KINDS, pii.KINDS)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_personal_data, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
