@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import pii, secrets
+from loomgraph.llm import chat, pii, secrets, sql
+from loomgraph.llm.mixing import mix_sources
 from loomgraph.llm.ngram_join import ngram_jaccard_components
 from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.spans import base_of, count_of, listed
@@ -50,13 +51,51 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.KINDS, pii.KINDS)
 
 
+#: A conversation whose texts are control strings of common templates.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    done = chat.format_conversations(rows.unionByName(extra))
+    read = done.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def source_tree() -> dict:
+    """The tree of the mixing queries: four domains, by the number in a source's name."""
+    number = F.regexp_extract("source", "[0-9]+", 0).try_cast("int")
+    return {"domain": F.concat(F.lit("domain"), (F.coalesce(number, F.lit(0)) % 4).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+#: Weights of the three levels, as SQL over the tree's columns.
+TREE_WEIGHTS = [
+    "1 + CAST(substring(domain, 7) AS INT)",
+    "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END",
+    "1 + length(source) % 3",
+]
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), source_tree(), TREE_WEIGHTS, budget=(3, 5), epochs=3, seed=17)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_personal_data, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_personal_data, op4_chat_format, op5_source_mixing, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
