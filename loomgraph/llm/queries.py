@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, pii, secrets, sql
+from loomgraph.llm import chat, language, media, pii, secrets, sql, warc
 from loomgraph.llm.mixing import mix_sources
 from loomgraph.llm.ngram_join import ngram_jaccard_components
 from loomgraph.llm.packing import pack_documents
+from loomgraph.llm.scratch import Scratch
 from loomgraph.llm.spans import base_of, count_of, listed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,12 +90,29 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), source_tree(), TREE_WEIGHTS, budget=(3, 5), epochs=3, seed=17)
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "warc").root + "/archives"
+    warc.write_archives(table(spark, sf_dir, "pages"), path, least_bytes=0)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    profiles = language.fit_profiles(documents.where(~language.held_out()))
+    return language.predict_language(documents, profiles).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_payloads(table(spark, sf_dir, "documents"))
+    return media.media_features(stored).select("doc_id", "n_bytes", *[c for c in media.FEATURES if c != "tile"])
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_personal_data, op4_chat_format, op5_source_mixing, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_personal_data, op4_chat_format, op5_source_mixing, op7_warc_revisits, op8_language_id, op9_media_columns, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -64,4 +64,20 @@ UNION ALL
 SELECT doc_id, domain, lang, source, whole AS epoch, n_tokens FROM partial WHERE reached <= part
 """
 
-ORACLES = {"op4_chat_format": OP4, "op5_source_mixing": OP5}
+#: Base 32 of a SHA-1: ten hex digits at a time, as numbers g0 to g3, are eight letters each.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((g{p} >> {35 - 5 * i}) & 31 AS INT) + 1, 1)" for p in range(4) for i in range(8)
+)
+
+OP7 = f"""
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+parts AS (SELECT *, {", ".join(f"CAST('0x' || substr(h, {1 + 10 * p}, 10) AS BIGINT) AS g{p}" for p in range(4))} FROM hashed),
+named AS (SELECT page_id, payload_bytes, {_BASE32} AS payload_digest FROM parts),
+firsts AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM named)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
+ORACLES = {"op4_chat_format": OP4, "op5_source_mixing": OP5, "op7_warc_revisits": OP7}
