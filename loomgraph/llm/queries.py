@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, language, media, pii, secrets, sql, warc
+from loomgraph.llm import ann, chat, language, media, pii, secrets, sql, warc
 from loomgraph.llm.mixing import mix_sources
 from loomgraph.llm.ngram_join import ngram_jaccard_components
 from loomgraph.llm.packing import pack_documents
@@ -90,6 +90,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), source_tree(), TREE_WEIGHTS, budget=(3, 5), epochs=3, seed=17)
 
 
+def op6_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").root + "/archives"
     warc.write_archives(table(spark, sf_dir, "pages"), path, least_bytes=0)
@@ -112,7 +116,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_personal_data, op4_chat_format, op5_source_mixing, op7_warc_revisits, op8_language_id, op9_media_columns, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_personal_data, op4_chat_format, op5_source_mixing, op6_anisotropic_ann, op7_warc_revisits, op8_language_id, op9_media_columns, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
