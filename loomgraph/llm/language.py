@@ -160,3 +160,20 @@ def held_out(id_col: str = "doc_id") -> Column:
     Rows without an id are never learned from.
     """
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(True))
+
+
+def keep_identified(documents: DataFrame, profiles: Profiles, least_score: float = 0.1, text_col: str = "text") -> DataFrame:
+    """``documents`` without the rows whose text has no letter or whose best cosine is below the least.
+
+    Columns stay as they are.  If nothing was learned, no row can be identified and none stays.
+    """
+    names, at = documents.columns, documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = _predictions(profiles)
+        for batch in batches:
+            judged = next(predict(iter([pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["doc_id", "text"])])))
+            keep = [lang != UNKNOWN and score >= least_score for lang, score in zip(judged.column(1).to_pylist(), judged.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns, names).filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
