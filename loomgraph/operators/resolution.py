@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from loomgraph.functions.scalars import blocking_keys, token_jaccard, without_legal_forms
 
@@ -47,12 +48,12 @@ def winkler(a: str, b: str) -> float:
     return base + 0.1 * same * (1 - base)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else winkler(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
