@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from loomgraph.plans import graphs, reads  # noqa: F401  importing a module registers its queries
+from loomgraph.plans.registry import ORACLES, QUERIES, Query
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
