@@ -61,7 +61,7 @@ def _grams(words: int):
         for batch in batches:
             sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["id", "n", "grams"]
+                [batch.column(0), *[pa.array([len(s) for s in sets], pa.int64())] * 2, _lists(sets)], ["id", "n", "part_n", "grams"]
             )
 
     return run
@@ -83,27 +83,30 @@ def _fragment(gram: str, part: str) -> str:
     return f"(({part} - 1) * 2 + IF({gram} < 0, 0, 1))"
 
 
-def _ordered(grams: DataFrame, percent: int) -> DataFrame:
-    """(id, n, k, grams): each document's shared n-grams in the global order, as structs (part, g).
+def _ordered(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, part_n, k, grams): shared n-grams in the global order, as structs (part, g).
 
-    Only documents whose ``k`` shared n-grams reach the threshold are kept.
+    ``sets`` has (id, n, part_n, grams): of a document's ``n`` n-grams the ``part_n`` of a fragment,
+    or all.  Only documents whose ``k`` shared ones leave a link possible are kept: a partner misses
+    at most n - needed of a document's n-grams.
     """
-    rows = grams.select("id", "n", F.explode("grams").alias("g"))
+    rows = sets.select("id", "n", "part_n", F.explode("grams").alias("g"))
     often = rows.groupBy("g").agg(F.count("*").alias("df")).where("df >= 2")
     often = often.select("g", F.expr(f"CAST(LEAST(FLOOR(LOG2(df)), {FREQUENCY_PARTS}) AS INT)").alias("part"))
-    by_document = rows.join(often, "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("part", "g"))).alias("grams"))
-    return by_document.withColumn("k", F.size("grams").cast("long")).where(F.col("k") >= _needed(percent))
+    shared = rows.join(often, "g").groupBy("id", "n", "part_n").agg(F.sort_array(F.collect_list(F.struct("part", "g"))).alias("grams"))
+    return shared.withColumn("k", F.size("grams").cast("long")).where(F.col("k") >= F.col("part_n") - F.col("n") + _needed(percent))
 
 
 def _lists_of_candidates(ordered: DataFrame, percent: int) -> DataFrame:
     """(g, id, n, most, hub, hub_n, hub_most): entries of prefix lists in which a link is possible.
 
-    ``most`` is the largest size of a partner that an entry can reach from its place in the order.
+    ``most`` is the largest size of a partner that an entry can reach from its place in the order;
+    n-grams outside the fragment count as if the partner had them all.
     """
     need = _needed(percent)
-    length = f"CAST(k - ((n * {percent} + 99) div 100) + 1 AS INT)"
-    prefix = ordered.select("id", "n", "k", F.posexplode(F.expr(f"slice(grams, 1, {length})")).alias("at", "gram"))
-    place = F.col("n") - F.col("k") + F.col("at")
+    length = f"CAST(k - part_n + n - ((n * {percent} + 99) div 100) + 1 AS INT)"
+    prefix = ordered.select("id", "n", "k", "part_n", F.posexplode(F.expr(f"slice(grams, 1, {length})")).alias("at", "gram"))
+    place = F.col("part_n") - F.col("k") + F.col("at")
     entries = prefix.select(F.col("gram.g").alias("g"), "id", "n", place.alias("place"))
     entries = entries.withColumn("most", F.expr(f"((100 + {percent}) * (n - place)) div {percent} - n")).where(F.col("most") >= need)
     lists = entries.groupBy("g").agg(
@@ -114,6 +117,11 @@ def _lists_of_candidates(ordered: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _candidate_ids(ordered: DataFrame, percent: int) -> DataFrame:
+    """(id): documents that are in a list with a possible partner."""
+    return _lists_of_candidates(ordered, percent).select("id").distinct()
+
+
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose summed overlaps reach the threshold."""
     left = segments.select(F.col("id").alias("a"), F.col("n").alias("a_n"), "fragment", F.col("grams").alias("a_grams"))
@@ -139,8 +147,7 @@ def ngram_jaccard_components(
 
     Cases: a null or wordless text has no shingles and stands alone.  A null id stays in the result
     with a null component.  Repeated rows give equal rows.  If rows repeat an id with different texts,
-    they are rows of their own; of those that stand for a class only the one with the smallest digest
-    is compared with others.  Other columns are ignored.  An empty table gives an empty result.
+    they are rows of their own, of which one is compared with other documents.  Other columns are ignored.  An empty table gives an empty result.
     """
     if not 0 < percent <= 100 or words < 1:
         raise ValueError("percent must be 1 to 100 and words at least 1")
@@ -154,22 +161,19 @@ def ngram_jaccard_components(
     copies = known.select("id", "digest").join(classes.where("members > 1"), "digest").where("id <> rep")
     copies = scratch.write("copies", copies.select("id").distinct())
 
-    # the first fragment: which documents share enough of it
+    # the first fragment: which documents are in a list of candidates, or have too few n-grams to tell
     slack = F.col("n") - _needed(percent)
-    single = known.join(copies, "id", "left_anti")
-    rows = single.select("id", F.explode("low").alias("g"))
-    often = rows.groupBy("g").agg(F.count("*").alias("df")).where("df >= 2").select("g")
-    found = rows.join(often, "g").groupBy("id").agg(F.count("*").alias("found"))
-    hopeful = known.select("id", "n", "n_low", "digest").join(classes, "digest").where("id = rep").join(found, "id", "left")
-    hopeful = hopeful.where(F.coalesce("found", F.lit(0)) >= F.col("n_low") - slack)
-    chosen = scratch.write("chosen", hopeful.groupBy("id").agg(F.min(F.hex("digest")).alias("digest")))
+    single = known.join(copies, "id", "left_anti").withColumnRenamed("n_low", "part_n")
+    first = scratch.write("first", _ordered(single.select("id", "n", "part_n", F.col("low").alias("grams")), percent))
+    hopeful = _candidate_ids(first, percent).unionByName(known.where(F.col("n_low") <= slack).select("id"))
+    chosen = scratch.write("chosen", hopeful.join(copies, "id", "left_anti").distinct())
+    scratch.drop("first")
 
     # whole sets of those
-    again = texts.join(chosen.select("id"), "id", "left_semi").mapInArrow(_grams(words), "id long, n long, grams array<long>")
+    again = texts.join(chosen, "id", "left_semi").mapInArrow(_grams(words), "id long, n long, part_n long, grams array<long>")
     grams = scratch.write("grams", again)
-    scratch.drop("copies")
     if grams.count() != chosen.count():  # rows that repeat an id
-        grams = scratch.write("grams-once", grams.groupBy("id").agg(F.min_by(F.struct("n", "grams"), F.xxhash64("grams")).alias("s")).select("id", "s.*"))
+        grams = scratch.write("grams-once", grams.groupBy("id").agg(F.min_by(F.struct("n", "part_n", "grams"), F.xxhash64("grams")).alias("s")).select("id", "s.*"))
     ordered = scratch.write("ordered", _ordered(grams, percent))
     scratch.drop("grams")
     lists = scratch.write("lists", _lists_of_candidates(ordered, percent))
