@@ -134,13 +134,16 @@ def canonical(entity_type: str, name: Column) -> Column:
     return F.regexp_replace(name, r"[.,]+$", "") if entity_type == "Url" else name
 
 
+def _named(names: Column, entity_type: str) -> Column:
+    return F.transform(names, lambda n: F.struct(F.lit(entity_type).alias("entity_type"), canonical(entity_type, n).alias("name")))
+
+
 def entities(rows: DataFrame, text: Column, key: str, types: list[str] | None = None) -> DataFrame:
     """(key, entity_type, name, confidence): distinct names; two or more of a type are ambiguous."""
     found = []
     for entity_type, pattern, group in ENTITY_PATTERNS:
         if types is None or entity_type in types:
-            names = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda n, t=entity_type: F.struct(F.lit(t).alias("entity_type"), canonical(t, n).alias("name")))
-            found.append(names)
+            found.append(_named(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), entity_type))
     every = rows.select(key, F.explode(F.array_distinct(F.concat(*found))).alias("e")).select(key, "e.entity_type", "e.name").where("name <> ''")
     several = every.groupBy(key, "entity_type").agg(F.count("*").alias("n"))
     return every.join(several, [key, "entity_type"]).select(key, "entity_type", "name", F.when(F.col("n") > 1, 0.6).otherwise(0.95).alias("confidence"))

@@ -91,7 +91,7 @@ def issue_type(labels: Column) -> Column:
     """Problem if a label holds one of the words for defects, Task otherwise."""
     hit = F.lit(False)
     for word in PROBLEM_WORDS:
-        hit |= F.exists(F.coalesce(labels, F.array().cast("array<string>")), lambda x, w=word: F.contains(F.lower(x), F.lit(w)))
+        hit |= F.contains(F.lower(F.array_join(F.coalesce(labels, F.array().cast("array<string>")), "\n")), F.lit(word))
     return F.when(hit, "Problem").otherwise("Task")
 
 

@@ -53,11 +53,12 @@ def visible_events(events: DataFrame, visible: DataFrame, key: str = "memory_id"
 GATE_STATE = "next_lsn long, held array<long>"
 
 
-def gate(events: DataFrame, key: str = "org", lsn: str = "lsn", first: int = 0, wait_ms: int = 5000) -> DataFrame:
+def gate(events: DataFrame, key: str = "org", lsn: str = "lsn", first: int = 0, wait_ms: int | None = 5000) -> DataFrame:
     """A stream of (org, lsn, status): lsns in order, held back until the ones before have come.
 
     ``released`` is the next in order, ``stale`` was there before, and ``gap`` says that the missing
-    ones did not come in time: subscribe again from there.
+    ones did not come in time: subscribe again from there.  Without ``wait_ms`` there is no such time;
+    a query with one keeps running batches, so it needs a trigger that is stopped from outside.
     """
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -78,11 +79,11 @@ def gate(events: DataFrame, key: str = "org", lsn: str = "lsn", first: int = 0,
             out.append((keys[0], upcoming, "released"))
             upcoming += 1
         state.update((upcoming, sorted(waiting)))
-        if waiting:
+        if waiting and wait_ms is not None:
             state.setTimeoutDuration(wait_ms)
         yield pd.DataFrame(out, columns=["org", "lsn", "status"])
 
-    return events.select(F.col(key).cast("string").alias("org"), F.col(lsn).cast("long").alias(lsn)).groupBy("org").applyInPandasWithState(step, "org string, lsn long, status string", GATE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select(F.col(key).cast("string").alias("org"), F.col(lsn).cast("long").alias(lsn)).groupBy("org").applyInPandasWithState(step, "org string, lsn long, status string", GATE_STATE, "append", GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def apply_stream(events: DataFrame, store: Store, table: str, checkpoint: str, key: str = "key"):
