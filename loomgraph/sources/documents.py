@@ -59,7 +59,7 @@ def git_log(records: DataFrame, column: str = "value") -> DataFrame:
     good = (F.size("p") >= 6) & (F.get("p", F.lit(0)) != "")
     return rows.select(
         F.get("p", F.lit(0)).alias("sha"), F.get("p", F.lit(1)).alias("author"), F.get("p", F.lit(2)).alias("email"), F.to_timestamp(F.get("p", F.lit(3))).alias("at"),
-        F.get("p", F.lit(4)).alias("subject"), F.get("p", F.lit(5)).alias("body"), F.transform(files, F.trim).alias("files"), good.alias("good"),
+        F.get("p", F.lit(4)).alias("subject"), F.get("p", F.lit(5)).alias("body"), F.transform(files, lambda f: F.trim(f)).alias("files"), good.alias("good"),
     )
 
 
