@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.scratch import Scratch
+
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -33,19 +35,32 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def resolve_revisits(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
+def with_headers(pages: DataFrame, payload_col: str = "html") -> DataFrame:
+    """``pages`` with payload_bytes and payload_digest; a null payload is empty."""
+    payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
+    return pages.withColumn("payload_bytes", F.octet_length(payload).cast("long")).withColumn("payload_digest", base32_sha1(payload))
+
+
+def repeated_payloads(headers: DataFrame, least_bytes: int = 0, id_col: str = "page_id") -> DataFrame:
+    """(payload_digest, first): digests of two or more records, with the largest id; combined before the shuffle."""
+    found = headers.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max(id_col).alias("first"), F.count("*").alias("members"))
+    return found.where("members > 1 AND first IS NOT NULL").select("payload_digest", "first")
+
+
+def resolve_revisits(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", payload_col: str = "html", repeated: DataFrame | None = None) -> DataFrame:
     """``pages`` with payload_bytes, payload_digest, record_type and refers_to.
 
     Of records with equal payloads of at least ``least_bytes`` bytes the one with the largest id is a
     response and the others are revisits that refer to it; the rest are responses.  Repeated rows of
     one id: one id cannot refer to itself, so all are responses.  A null payload is empty; a row with
     a null id is a response unless its payload has an id, to which it then refers.
+
+    ``repeated`` may be a written table of ``repeated_payloads``: while that is small enough to be
+    broadcast, by the size of its files, payloads are not shuffled at all.
     """
-    payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.withColumn("payload_bytes", F.octet_length(payload).cast("long")).withColumn("payload_digest", base32_sha1(payload))
-    headers = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max(id_col).alias("_first"), F.count("*").alias("_members"))
-    repeated = headers.where("_members > 1 AND _first IS NOT NULL").select("payload_digest", "_first")
-    joined = rows.join(repeated, "payload_digest", "left")
+    rows = with_headers(pages, payload_col)
+    known = repeated_payloads(rows, least_bytes, id_col) if repeated is None else repeated
+    joined = rows.join(known.withColumnRenamed("first", "_first"), "payload_digest", "left")
     refers = F.when((F.col("payload_bytes") >= least_bytes) & ~F.col(id_col).eqNullSafe(F.col("_first")), F.col("_first"))
     return joined.withColumn("refers_to", refers.cast("long")).withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")).drop("_first")
 
@@ -79,7 +94,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
     An empty table gives a folder without records.  Other columns are ignored.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"))
-    text = resolve_revisits(rows, least_bytes).select(record_text().alias("value"))
+    repeated = Scratch(pages.sparkSession, "warc").write("repeated", repeated_payloads(with_headers(rows), least_bytes))
+    text = resolve_revisits(rows, least_bytes, repeated=repeated).select(record_text().alias("value"))
     text.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
