@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import graphs, ingestion, reads  # noqa: F401  importing a module registers its queries
+from loomgraph.plans import graphs, ingestion, more, reads  # noqa: F401  importing a module registers its queries
 from loomgraph.plans.registry import ORACLES, QUERIES, Query
 
 
