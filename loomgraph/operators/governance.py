@@ -110,4 +110,4 @@ def stamped(memories: DataFrame) -> DataFrame:
     """``memories`` with the vector of title and content, and the model that made it; null if both are empty."""
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
     vector = F.struct(F.struct(F.lit(MODEL).alias("name"), F.lit(REVISION).alias("version")).alias("model"), embed(text).alias("vector"))
-    return memories.withColumn("embedding", F.when(F.trim(text) != "", vector))
+    return memories.withColumn("embedding", F.when(text.rlike(r"\S"), vector))
