@@ -21,7 +21,10 @@ def live(at: Column) -> Column:
 
 
 def latest(versions: DataFrame, key: str, lsn: str = "version_lsn") -> DataFrame:
-    """The version of largest lsn for each key; combined before the shuffle, so no key is one task's."""
+    """The version of largest lsn for each key; combined before the shuffle, so no key is one task's.
+
+    Give only the columns that are needed: they travel together.
+    """
     rest = [c for c in versions.columns if c != key]
     best = versions.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(lsn)).alias("_v"))
     return best.select(*[F.col(key) if c == key else F.col("_v")[c].alias(c) for c in versions.columns])

@@ -307,7 +307,7 @@ def src_15(spark, d):
 def src_17(spark, d):
     from loomgraph.operators.temporal import latest
 
-    return latest(versions(spark, d), "memory_id").select("memory_id", "version_lsn")
+    return latest(versions(spark, d).select("memory_id", "version_lsn"), "memory_id")
 
 
 # --- sinks ------------------------------------------------------------------------------------

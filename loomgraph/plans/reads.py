@@ -163,7 +163,7 @@ def flt_22(spark, d):
 
 @query("SELECT memory_id, max(version_lsn) AS version_lsn, arg_max(title, version_lsn) AS title FROM ver GROUP BY memory_id")
 def win_01(spark, d):
-    return temporal.latest(versions(spark, d), "memory_id").select("memory_id", "version_lsn", "title")
+    return temporal.latest(versions(spark, d).select("memory_id", "version_lsn", "title"), "memory_id")
 
 
 AT = "TIMESTAMP '2024-01-15 12:00:00'"
@@ -172,12 +172,12 @@ VALID_SQL = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY memory_id
 
 @query(f"SELECT memory_id, version_lsn, title FROM ({VALID_SQL})")
 def win_02(spark, d):
-    return temporal.valid_at(versions(spark, d), F.expr(AT), "memory_id").select("memory_id", "version_lsn", "title")
+    return temporal.valid_at(versions(spark, d).drop("value", "props"), F.expr(AT), "memory_id").select("memory_id", "version_lsn", "title")
 
 
 @query(f"SELECT memory_id, version_lsn, value FROM ({VALID_SQL}) WHERE memory_id = 'user:7'")
 def tmp_01(spark, d):
-    one = versions(spark, d).where("memory_id = 'user:7'")
+    one = versions(spark, d).where("memory_id = 'user:7'").drop("title", "props")
     return temporal.valid_at(one, F.expr(AT), "memory_id").select("memory_id", "version_lsn", "value")
 
 
@@ -225,7 +225,7 @@ def tmp_05(spark, d):
   row_number() OVER (PARTITION BY o_orderkey ORDER BY v.version_lsn DESC) AS rn FROM orders JOIN ver v ON v.memory_id = 'user:' || o_custkey AND v.recorded_at <= TIMESTAMP '2024-01-01' + to_hours(CAST(o_orderkey % 720 AS INT))) WHERE rn = 1 AND (valid_until IS NULL OR valid_until > ts)""")
 def jon_18(spark, d):
     points = table(spark, d, "orders").selectExpr("concat('user:', o_custkey) AS memory_id", "TIMESTAMP '2024-01-01' + make_dt_interval(0, CAST(o_orderkey % 720 AS INT)) AS at").withColumn("at", F.col("at").cast("timestamp"))
-    joined = temporal.as_of_join(points, versions(spark, d), "memory_id", "at")
+    joined = temporal.as_of_join(points, versions(spark, d).drop("value", "props"), "memory_id", "at")
     return joined.select(F.col("memory_id").alias("customer"), F.col("at").alias("ts"), "version_lsn", "title")
 
 
