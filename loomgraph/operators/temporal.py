@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import Steps
+
 
 def open_at(at: Column) -> Column:
     """Valid in the half-open interval [valid_from, valid_until)."""
@@ -81,6 +83,22 @@ def believed_edges(edges: DataFrame, memories: DataFrame, cut: Column) -> DataFr
     return kept.select(*edges.columns)
 
 
+def running_total(rows: DataFrame, weight: Column, order: list[str], name: str, blocks: int = 64) -> DataFrame:
+    """``rows`` with the running sum of ``weight`` over all rows in an order.
+
+    Rows are dealt by range and summed by partition first; only one number for each partition is put
+    in order by itself, so no task holds all rows.
+    """
+    dealt = rows.withColumn("_weight", weight).repartitionByRange(blocks, *order).sortWithinPartitions(*order)
+    dealt = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    dealt = Steps(rows.sparkSession).keep(dealt)  # written once: ranges may fall differently when they are dealt again
+    sizes = dealt.groupBy("_part").agg(F.sum("_weight").alias("sum"))
+    before = sizes.select("_part", F.coalesce(F.sum("sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.sum("_weight").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    joined = dealt.join(F.broadcast(before), "_part")  # a row for each of the blocks
+    return joined.withColumn(name, F.col("_before") + inside).drop("_weight", "_part", "_at", "_before")
+
+
 def prefix_within(rows: DataFrame, weight: str, budget: float, order: list[str], partition: list[str]) -> DataFrame:
     """The rows of each partition, in order, whose running weight stays within the budget."""
     running = F.sum(weight).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

@@ -6,10 +6,10 @@ rows are part of the same commit, and a commit that expected another version is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators.temporal import believed_at, believed_edges
+from loomgraph.operators.temporal import believed_at, believed_edges, running_total
 from loomgraph.session import remove
 
 
@@ -80,17 +80,10 @@ class Store:
         remove(self.spark, f"{self.path}/v{version}")
 
 
-def with_lsns(rows: DataFrame, base: int, order: list[str], blocks: int = 64) -> DataFrame:
-    """``rows`` with version_lsn after ``base``, without gaps, in the order of some columns.
-
-    Rows are dealt by range, counted by partition, and numbered within each, so no task holds all.
-    """
-    dealt = rows.drop("version_lsn").repartitionByRange(blocks, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"))
-    before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
-    numbered = dealt.join(F.broadcast(before), "_part").withColumn("version_lsn", (F.lit(base) + F.col("before") + place).cast("long"))
-    return numbered.drop("_part", "_at", "before")
+def with_lsns(rows: DataFrame, base: int, order: list[str]) -> DataFrame:
+    """``rows`` with version_lsn after ``base``, without gaps, in the order of some columns."""
+    numbered = running_total(rows.drop("version_lsn"), F.lit(1), order, "version_lsn")
+    return numbered.withColumn("version_lsn", (F.lit(base) + F.col("version_lsn")).cast("long"))
 
 
 def closing(current: DataFrame, wanted: DataFrame, key: str, at: Column) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import bounded_text, cell_text, derived_id, title_of
+from loomgraph.operators.temporal import running_total
 
 BODY, NOTICE = 4000, "\n[cut]"
 PROBLEM_WORDS = ("bug", "defect", "incident", "regression")
@@ -71,8 +72,7 @@ def git_drafts(commits: DataFrame, repo: str, rows: int | None = None) -> tuple[
     """Drafts of commits and files, and Modifies edges; ``rows`` keeps the oldest commits within it."""
     good = commits.where("good")
     if rows is not None:
-        weight = F.sum(1 + F.size("files")).over(Window.orderBy("at", "sha").rowsBetween(Window.unboundedPreceding, 0))
-        good = good.withColumn("weight", weight).where(F.col("weight") <= rows)
+        good = running_total(good, 1 + F.size("files"), ["at", "sha"], "weight").where(F.col("weight") <= rows)
     node = lambda domain, c: derived_id(domain, F.lit(repo), c)
     made = good.select(node("commit", F.col("sha")).alias("memory_id"), commit_type(F.col("subject")).alias("memory_type"), title_of(F.col("subject")).alias("title"), bounded_text(F.col("body"), BODY, NOTICE).alias("content"), F.col("at").alias("valid_from"))
     touched = good.select("sha", F.explode("files").alias("file"))
@@ -119,8 +119,7 @@ def tracker_drafts(issues: DataFrame, pulls: DataFrame, repo: str) -> tuple[Data
 
 def windows(rows: DataFrame, size: int, order: str = "updatedAt") -> DataFrame:
     """``rows`` with a window number of about ``size`` rows each, in the order of their time."""
-    place = F.row_number().over(Window.orderBy(order)) - 1
-    return rows.withColumn("window", F.floor(place / size))
+    return running_total(rows, F.lit(1), [order], "window").withColumn("window", F.floor((F.col("window") - 1) / size))
 
 
 def cursor(rows: DataFrame, column: str = "updatedAt", truncated: bool = False) -> DataFrame:

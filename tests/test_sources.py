@@ -142,6 +142,16 @@ def test_history_and_trackers(spark):
     assert sorted(r.kind for r in edges.collect()) == ["Fixes", "RelatedTo", "Solves"]
 
 
+def test_budgets_and_windows(spark):
+    log = spark.createDataFrame([(f"s{i}\x1fa\x1fe\x1f2024-01-{i + 1:02d}T00:00:00Z\x1fs\x1fb\x1f\nf{i}\n",) for i in range(9)], "value string")
+    made, _ = documents.git_drafts(documents.git_log(log), "r", rows=7)
+    assert made.where("memory_type = 'Command'").count() == 3  # two rows each, a commit and its file
+    rows = spark.range(25).selectExpr("CAST(id AS STRING) AS n", "id AS updatedAt").repartition(5)
+    sizes = {r.window: r["count"] for r in documents.windows(rows, 10).groupBy("window").count().collect()}
+    assert sizes == {0: 10, 1: 10, 2: 5}
+    assert documents.cursor(rows, truncated=True).first().cursor == 23
+
+
 def test_store_versions(spark, tmp_path):
     store = commit.Store(spark, str(tmp_path))
     frame = spark.range(300).selectExpr("id", "id % 7 AS v")
