@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.language import fit_profiles, held_out, keep_identified
-from loomgraph.llm.mixing import mix_sources
+from loomgraph.llm.mixing import mix_documents
 from loomgraph.llm.ngram_join import ngram_jaccard_components
 from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.pii import redact_personal_data
@@ -31,11 +31,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked documents the one with the smallest id.
 
-    Five-word shingles and a similarity of 0.8 or more.  Rows that repeat a kept id stay.
+    Five-word shingles and a similarity of 0.8 or more.  Rows that repeat a kept id stay.  The list of
+    dropped ids has no bound, so it is never broadcast, at no size.
     """
     linked = ngram_jaccard_components(docs, words=5, percent=80)
     gone = Scratch(spark, "pipeline").write("gone", linked.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +46,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the budget of each source takes in one epoch; rows without an id are not taken."""
-    taken = mix_sources(docs, source_tree(), TREE_WEIGHTS, budget=MIX_BUDGET, epochs=1, seed=17)
-    kept = Scratch(spark, "pipeline").write("taken", taken.select("doc_id").distinct())
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps what the budget of each source takes in one epoch."""
+    return mix_documents(docs, source_tree(), TREE_WEIGHTS, budget=MIX_BUDGET, seed=17)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ planned AS (
   SELECT domain, lang, source, given // tokens AS whole, given % tokens AS part FROM c JOIN leaves USING (domain, lang, source) WHERE tokens > 0
 ), placed AS (SELECT * FROM docs JOIN planned USING (domain, lang, source)),
 partial AS (
-  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:13], doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS reached
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:13], doc_id) AS reached
   FROM placed WHERE part > 0
 )
 SELECT doc_id, domain, lang, source, CAST(e.epoch AS BIGINT) AS epoch, n_tokens FROM placed, LATERAL (SELECT unnest(range(whole)) AS epoch) e
