@@ -2,33 +2,17 @@
 
 A step whose result is read more than once is written as Parquet below the folder that the cluster
 names in ``spark.checkpoint.dir`` and read again, so a lost executor costs a re-read and not a
-recomputation.  Only where that setting is missing (tests, a laptop) a folder of our own is set.
+recomputation.
 """
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; sets one of our own only if the setting is missing."""
-    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set(SETTING, folder)
-    return folder.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder on whatever file system it is."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(target, True)
+from loomgraph.session import remove, shared_folder
 
 
 class Scratch:
@@ -48,10 +32,10 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
         for name in names:
-            delete(self.spark, f"{self.root}/{name}")
+            remove(self.spark, f"{self.root}/{name}")
 
     def close(self) -> None:
         try:
-            delete(self.spark, self.root)
+            remove(self.spark, self.root)
         except Exception:  # the session is gone: the cluster's own cleaning of its folder remains
             pass
