@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the smallest sample tables."""
+"""Every query with SQL against DuckDB on the sample tables."""
 
 import glob
 import os
@@ -8,7 +8,7 @@ import pytest
 
 from loomgraph.plans import catalog
 
-TABLES = "/root/testdata/sf0.001"
+TABLES = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="needs the sample tables")
 
 
