@@ -169,8 +169,8 @@ def ngram_jaccard_components(
     chosen = scratch.write("chosen", hopeful.join(copies, "id", "left_anti").distinct())
     scratch.drop("first")
 
-    # whole sets of those
-    again = texts.join(chosen, "id", "left_semi").mapInArrow(_grams(words), "id long, n long, part_n long, grams array<long>")
+    # whole sets of those; the list of ids has no bound and is never broadcast, at no size
+    again = texts.join(chosen.hint("merge"), "id", "left_semi").mapInArrow(_grams(words), "id long, n long, part_n long, grams array<long>")
     grams = scratch.write("grams", again)
     if grams.count() != chosen.count():  # rows that repeat an id
         grams = scratch.write("grams-once", grams.groupBy("id").agg(F.min_by(F.struct("n", "part_n", "grams"), F.xxhash64("grams")).alias("s")).select("id", "s.*"))
