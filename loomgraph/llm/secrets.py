@@ -27,6 +27,8 @@ ADDED_KINDS = ("private_key", "public_key", "ssh_key", "signed_token", "encoded_
 KINDS = BASE_KINDS + ADDED_KINDS
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}(?:\.[A-Za-z0-9_-]*){0,2}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s\\]{16,}?)-----END \1-----")
+#: A part of a dotted token; tokens start at any "eyJ", which is the base64 of {".
+PART = re.compile(r"[A-Za-z0-9_-]*")
 HEX_RUN = re.compile(r"[0-9a-f]{24,}")
 HEX_ANY = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
 
@@ -131,21 +133,36 @@ def structure(data: bytes, depth: int = 0) -> str | None:
     return structure(inner, depth + 1) if inner else None
 
 
+def token_spans(text: str) -> list[Span]:
+    """Three dotted parts of which the first is a token's header, wherever it starts in a run."""
+    found: list[Span] = []
+    at = text.find("eyJ")
+    while at >= 0:
+        one = PART.match(text, at).end()
+        two = PART.match(text, one + 1).end() if text[one : one + 1] == "." else one
+        if two <= one + 1 or text[two : two + 1] != ".":
+            at = text.find("eyJ", one)  # no token begins in this part
+        elif token_header(text[at:one]):
+            found.append(("signed_token", at, PART.match(text, two + 1).end()))
+            at = text.find("eyJ", found[-1][2])
+        else:
+            at = text.find("eyJ", at + 1)
+    return found
+
+
 def added_spans(text: str) -> list[Span]:
     """Candidates that decode and parse."""
-    found: list[Span] = []
+    found: list[Span] = token_spans(text)
+    tokens = list(found)
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
             kind = structure(unbase64(re.sub(r"[\s\\n]+", "", m[2]) if "\\n" in m[2] else re.sub(r"\s+", "", m[2])) or b"")
             if kind or "PRIVATE KEY" in m[1]:
                 found.append((kind or "private_key", m.start(), m.end()))
     for m in ENCODED.finditer(text):
-        run = m[0]
-        if run.startswith("eyJ") and run.count(".") == 2:
-            if token_header(run.split(".")[0]):
-                found.append(("signed_token", m.start(), m.end()))
+        if any(a <= m.start() < b for _, a, b in tokens):
             continue
-        first = run.split(".")[0]
+        first = m[0].split(".")[0]
         data = unbase64(first)
         kind = structure(data) if data else None
         if kind:

@@ -35,6 +35,15 @@ def test_structure_is_confirmed():
         assert kinds(plain) == set()
 
 
+def test_tokens_with_short_headers_anywhere():
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    for alg in ("HS256", "RS256", "EdDSA"):
+        token = ".".join((part(json.dumps({"alg": alg}, separators=(",", ":")).encode()), part(b'{"sub":"1234567890"}'), part(b"signature-bytes-here")))
+        for before in ("", "Bearer ", "https://x/cb/", "id_", "a-", "www.example.", "eyJ.", "x" * 40 + "/"):
+            assert ("signed_token", len(before), len(before + token)) in secrets.added_spans(before + token + " end")
+    assert kinds("eyJ" * 5000 + ".a.b " + "eyJ.." * 50) == set()
+
+
 def plain_secrets(text):
     word = "".join
     either = lambda s: word(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s)
