@@ -29,6 +29,10 @@ ENCODED = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}(?:\.[A-Za-z0-9_-]*){0,2}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s\\]{16,}?)-----END \1-----")
 #: A part of a dotted token; tokens start at any "eyJ", which is the base64 of {".
 PART = re.compile(r"[A-Za-z0-9_-]*")
+#: Line breaks in a key block, also as two-character escapes.
+PEM_BREAK = re.compile(r"(?:\\[nrt]|[\s\\])+")
+#: Usual white space, which isprintable() refuses.
+SPACES = str.maketrans("\t\n\r\f", "    ")
 HEX_RUN = re.compile(r"[0-9a-f]{24,}")
 HEX_ANY = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
 
@@ -119,18 +123,25 @@ def unbase64(run: str) -> bytes | None:
         return None
 
 
+def plain_text(data: bytes) -> str | None:
+    """Decoded UTF-8 of printable characters and usual white space, or None."""
+    try:
+        text = data.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return None
+    return text if text.translate(SPACES).isprintable() else None
+
+
 def structure(data: bytes, depth: int = 0) -> str | None:
-    """The kind of decoded bytes, or None.  Text that holds a base span or is encoded again counts."""
+    """The kind of decoded bytes, or None.  Text that holds a base span counts, and so does text with added spans."""
     kind = der_kind(data) or ssh_kind(data)
-    if kind or depth > 1 or not data.isascii():
+    text = None if kind or depth > 1 else plain_text(data)
+    if not text:
         return kind
-    text = data.decode("ascii")
-    if not text.isprintable():
-        return None
     if ASSIGN.search(text) or ACCESS.search(text):
         return "encoded_text"
-    inner = unbase64(text) if ENCODED.fullmatch(text) else None
-    return structure(inner, depth + 1) if inner else None
+    inner = added_spans(text, depth + 1)
+    return inner[0][0] if inner else None
 
 
 def token_spans(text: str) -> list[Span]:
@@ -150,13 +161,13 @@ def token_spans(text: str) -> list[Span]:
     return found
 
 
-def added_spans(text: str) -> list[Span]:
-    """Candidates that decode and parse."""
+def added_spans(text: str, depth: int = 0) -> list[Span]:
+    """Candidates that decode and parse; ``depth`` counts the encodings that ``text`` was in."""
     found: list[Span] = token_spans(text)
     tokens = list(found)
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            kind = structure(unbase64(re.sub(r"[\s\\n]+", "", m[2]) if "\\n" in m[2] else re.sub(r"\s+", "", m[2])) or b"")
+            kind = structure(unbase64(PEM_BREAK.sub("", m[2])) or b"", depth)
             if kind or "PRIVATE KEY" in m[1]:
                 found.append((kind or "private_key", m.start(), m.end()))
     for m in ENCODED.finditer(text):
@@ -164,11 +175,11 @@ def added_spans(text: str) -> list[Span]:
             continue
         first = m[0].split(".")[0]
         data = unbase64(first)
-        kind = structure(data) if data else None
+        kind = structure(data, depth) if data else None
         if kind:
             found.append((kind, m.start(), m.start() + len(first)))
     for m in HEX_ANY.finditer(text):
-        kind = structure(bytes.fromhex(m[0]))
+        kind = structure(bytes.fromhex(m[0]), depth)
         if kind:
             found.append((kind, m.start(), m.end()))
     return [s for i, s in enumerate(found) if s not in found[:i]]

@@ -44,6 +44,25 @@ def test_tokens_with_short_headers_anywhere():
     assert kinds("eyJ" * 5000 + ".a.b " + "eyJ.." * 50) == set()
 
 
+PUBLIC = der(0x30, der(0x30, der(6, b"\x2b\x65\x70")) + der(3, b"\0" + bytes(range(32))))
+
+
+def test_decoded_text_is_read_like_plain_text():
+    wrap = lambda s: base64.b64encode(s.encode()).decode()
+    assert kinds(wrap("password=hunter22\n")) == {"encoded_text"}
+    assert kinds(wrap("# größe\r\nuser: jo\n\tpassword: hunter22\n")) == {"encoded_text"}
+    assert kinds(wrap(wrap("password=hunter22\n") + "\n")) == {"encoded_text"}
+    for key, kind in ((KEY, "private_key"), (PUBLIC, "public_key")):
+        name, body = kind.replace("_", " ").upper(), base64.encodebytes(key).decode()
+        block = f"-----BEGIN {name}-----\n{body}-----END {name}-----\n"
+        assert kinds(wrap(block)) == {kind}
+        for escape in ("\\n", "\\r\\n"):
+            assert kind in kinds(block.replace("\n", escape))
+    assert kinds(wrap(f"see {JWT}\n")) == {"signed_token"}
+    for plain in ("just some words\nover two lines\n", "größe und länge der straße"):
+        assert kinds(wrap(plain)) == set()
+
+
 def plain_secrets(text):
     word = "".join
     either = lambda s: word(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s)
