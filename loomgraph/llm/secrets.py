@@ -34,7 +34,7 @@ PEM_BREAK = re.compile(r"(?:\\[nrt]|[\s\\])+")
 #: Usual white space, which isprintable() refuses.
 SPACES = str.maketrans("\t\n\r\f", "    ")
 HEX_RUN = re.compile(r"[0-9a-f]{24,}")
-HEX_ANY = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
+HEX_ANY = re.compile(r"(?:[0-9A-Fa-f]{2}){12,}")
 
 Span = tuple[str, int, int]
 

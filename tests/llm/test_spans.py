@@ -63,6 +63,15 @@ def test_decoded_text_is_read_like_plain_text():
         assert kinds(wrap(plain)) == set()
 
 
+def test_hex_of_any_case_from_24_digits():
+    run = b"password=hunter2hunter2".hex()
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(run))
+    for value in (run, run.upper(), mixed, b"token=abcdef".hex().upper(), "".join(c.upper() if i % 2 else c for i, c in enumerate(KEY.hex()))):
+        assert [(a, b) for _, a, b in secrets.added_spans(f"hex {value} end")] == [(4, 4 + len(value))]
+    for plain in ("0123456789abcdef01234567", "DEADBEEF" * 3, b"just some words".hex()):
+        assert kinds(plain) == set()
+
+
 def plain_secrets(text):
     word = "".join
     either = lambda s: word(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s)
