@@ -27,6 +27,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # only tried
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+#: The form of added cards and phones: digits, single separators; brackets, and separators such as " / ".
+CARD_FORM = re.compile(r"[0-9]+(?:[ ./-][0-9]+)*")
+PHONE_FORM = re.compile(r"(?=[+(0-9])\+?(?:[ ./-]{0,3}(?:\([0-9]+\)|[0-9]))+")
+
 WINDOW, STRIDE = 96, 48
 Span = tuple[str, int, int]
 
@@ -342,12 +346,21 @@ def formed(kind: str, value: str) -> bool:
         parts = re.split(r"[.-]", value)
         return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", p) and int(p) <= 255 for p in parts)
     if kind == "card":
-        return bool(re.fullmatch(r"[0-9]{4}([ ./-])[0-9]{4}\1[0-9]{4}(\1[0-9]{1,7})?", value)) and 12 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"(00[0-9]{1,2} [0-9]{3} |\([0-9]{3}\) |[0-9]{3}-)[0-9]{3}[ -][0-9]{4}", value))
+        return bool(CARD_FORM.fullmatch(value)) and 12 <= len(digits) <= 19 and luhn(digits)
+    # a bare run of digits is a number like any other, unless it begins as numbers dialled abroad do
+    return bool(PHONE_FORM.fullmatch(value)) and 9 <= len(digits) <= 15 and (value != digits or value.startswith("00"))
+
+
+def settled(kind: str, value: str) -> str | None:
+    """The kind whose form an added span has: phones after 00 may be taken for cards, as both are groups of digits."""
+    if formed(kind, value):
+        return kind
+    dialled = kind == "card" and value.startswith("00") and not value.isdigit()
+    return "phone" if dialled and formed("phone", value) else None
 
 
 def added_spans(texts: list[str], tagger: Tagger, block: int = 512) -> list[list[Span]]:
-    """The network's spans of each text that pass the check of their form."""
+    """The network's spans of each text that pass the check of their form, those that fail never displace others."""
     places = [(i, start) for i, text in enumerate(texts) for start in windows(text)]
     found: list[list[tuple[float, Span]]] = [[] for _ in texts]
     for low in range(0, len(places), block):
@@ -363,9 +376,17 @@ def added_spans(texts: list[str], tagger: Tagger, block: int = 512) -> list[list
             for kind, a, b in _runs(path[row]):
                 cut = (a == 0 and start > 0) + (b == WINDOW and start + WINDOW < len(texts[i]))
                 score = float(gain[row, a:b].sum()) * (0.25 if cut else 1.0)
-                if score > 0:
-                    found[i].append((score, (kind, start + a, min(start + b, len(texts[i])))))
-    return [[s for s in reconciled(spans) if formed(s[0], text[s[1] : s[2]])] if spans else [] for text, spans in zip(texts, found, strict=True)]
+                a, b = start + a, min(start + b, len(texts[i]))
+                kind = settled(kind, texts[i][a:b])
+                if score > 0 and kind and not _inside_number(texts[i], a, b):
+                    found[i].append((score, (kind, a, b)))
+    return [reconciled(spans) if spans else [] for spans in found]
+
+
+def _inside_number(text: str, a: int, b: int) -> bool:
+    """Whether a place cuts a run of digits, as a window's border does."""
+    edges = text[max(a - 1, 0) : a + 1], text[b - 1 : b + 1]
+    return any(len(e) == 2 and e.isascii() and e.isdigit() for e in edges)
 
 
 def _runs(path: np.ndarray) -> Iterator[Span]:

@@ -149,3 +149,17 @@ def test_gradients_match_differences():
 def test_reconciled_and_redacted():
     assert pii.reconciled([(1.0, ("ip", 0, 5)), (3.0, ("card", 3, 9)), (2.5, ("ip", 0, 3)), (1.0, ("ip", 0, 3))]) == [("ip", 0, 3), ("card", 3, 9)]
     assert pii.redacted("a@b.c and 1.2.3.4", [("email", 0, 5, True), ("ip", 10, 17, True)]) == "[EMAIL] and [IP]"
+
+
+def test_network_finds_all_forms_of_cards_and_phones():
+    tagger = pii.default_tagger()
+    values = [("card", v) for v in ("4111.1111.1111.1111.110", "4111/1111/1111/1111/110", "3782.822463.10005", "3782/822463/10005")] + [("phone", v) for v in ("555.123.4567", "212.555.0187", "0049 30 1234567", "0044 20 7946 0958")]
+    for kind, value in values:
+        text = "thond erth ha " * 7 + value + " thond erth ha" * 7
+        assert [(kind, 98, 98 + len(value), False)] == pii.all_spans([text], tagger)[0]
+        assert value not in pii.redacted(text, pii.all_spans([text], tagger)[0])
+    assert pii.formed("phone", "0049 30 1234567") and pii.formed("phone", "+49 (0) 30 / 1234567")
+    assert not pii.formed("phone", "123456789") and not pii.formed("phone", "555.123") and not pii.formed("card", "4111.1111.1111.1112")
+    for number in ("4111111111111112", "48687010557961234"):  # no part of a longer number is a card of its own
+        for pad in range(30, 100):
+            assert not any(k == "card" for k, *_ in pii.added_spans(["x" * pad + " " + number + " thond erth" * 9], tagger)[0])
