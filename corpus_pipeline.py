@@ -17,7 +17,7 @@ from loomgraph.llm.pii import redact_personal_data
 from loomgraph.llm.queries import TREE_WEIGHTS, source_tree, tokenizer_path
 from loomgraph.llm.scratch import Scratch
 
-#: Documents whose best language cosine is below this are rejected.
+#: Documents whose best language cosine is below this are rejected, unless they are too short to tell.
 LEAST_SCORE = 0.1
 #: Share of the tokens left that the mixture may take, as a fraction.
 MIX_BUDGET = (4, 5)

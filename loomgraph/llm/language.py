@@ -22,6 +22,8 @@ ORDER = 3
 SCALE = 1 << 20
 UNKNOWN = "und"
 GAP = 32
+#: A text with fewer distinct n-grams is too short to be told from chance, whose cosines are about 0.044.
+FEW_GRAMS = 48
 
 _alphabetic: list[np.ndarray] = []
 
@@ -33,6 +35,24 @@ def _letters() -> np.ndarray:
     return _alphabetic[0]
 
 
+def _points(text: str) -> np.ndarray | None:
+    """Code points of a text's letters and single gaps, with gaps around; None without a letter."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[points]
+    if not letter.any():
+        return None
+    points = np.where(letter, points, GAP)
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]  # the first gap after a letter stays
+    return np.concatenate([[GAP], points[keep], [GAP] * (ORDER - 1)])
+
+
+def distinct_grams(text: str) -> int:
+    """How many different n-grams a text has."""
+    points = _points(text)
+    return 0 if points is None else len(np.unique(np.lib.stride_tricks.sliding_window_view(points, ORDER), axis=0))
+
+
 @dataclass
 class Encoder:
     """Document vectors; letters get their vectors from the seed and their code point alone."""
@@ -51,14 +71,9 @@ class Encoder:
 
     def vector(self, text: str) -> np.ndarray | None:
         """The bundle of a text's n-grams over letters and single gaps; None without a letter."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = _letters()[points]
-        if not letter.any():
+        points = _points(text)
+        if points is None:
             return None
-        points = np.where(letter, points, GAP)
-        keep = letter.copy()
-        keep[1:] |= letter[:-1]  # the first gap after a letter stays
-        points = np.concatenate([[GAP], points[keep], [GAP] * (ORDER - 1)])
         at = self.index[points]
         if (at < 0).any():
             self._add(np.unique(points[at < 0]))
@@ -163,9 +178,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def keep_identified(documents: DataFrame, profiles: Profiles, least_score: float = 0.1, text_col: str = "text") -> DataFrame:
-    """``documents`` without the rows whose text has no letter or whose best cosine is below the least.
+    """``documents`` without the rows whose text has no letter or is clearly foreign.
 
-    Columns stay as they are.  If nothing was learned, no row can be identified and none stays.
+    Clearly foreign: the best cosine is below the least, and the text has ``FEW_GRAMS`` different
+    n-grams or more, so that this is not for its length.  Columns stay as they are.  If nothing was learned, no row can be identified and none stays.
     """
     names, at = documents.columns, documents.columns.index(text_col)
 
@@ -173,7 +189,8 @@ def keep_identified(documents: DataFrame, profiles: Profiles, least_score: float
         predict = _predictions(profiles)
         for batch in batches:
             judged = next(predict(iter([pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["doc_id", "text"])])))
-            keep = [lang != UNKNOWN and score >= least_score for lang, score in zip(judged.column(1).to_pylist(), judged.column(2).to_pylist(), strict=True)]
+            judgements = zip(judged.column(1).to_pylist(), judged.column(2).to_pylist(), batch.column(at), strict=True)
+            keep = [lang != UNKNOWN and (score >= least_score or distinct_grams(text.as_py()) < FEW_GRAMS) for lang, score, text in judgements]
             yield pa.RecordBatch.from_arrays(batch.columns, names).filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

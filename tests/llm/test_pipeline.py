@@ -68,3 +68,16 @@ def test_run_equals_its_stages(spark, tables):
     again = __spark_entry__.queries()["pipeline"](spark, tables).collect()
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, rows)) == sorted(map(key, again)) and len(rows) > 20
+
+
+def test_short_clean_documents_stay(spark, tables):
+    """Texts of a few n-grams have cosines near chance; only long foreign texts and those without letters go."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    short = ["A.", "Re.", "Die tz.", "Avec.", "Erö.", "Onhaha sh.", "BE!! SCUM!! TION!! A.!! " * 9]
+    foreign = " ".join("".join(random.Random(i).sample("かきくけこさしすせそたちつてとなにぬねの", 6)) for i in range(60))
+    rows = [(300 + i, t, "en", "src1", len(t)) for i, t in enumerate([*short, foreign, "12 !"])]
+    profiles = language.fit_profiles(docs.where(~language.held_out()))
+    more = spark.createDataFrame(rows, docs.schema)
+    assert any(r.score < corpus_pipeline.LEAST_SCORE for r in language.predict_language(more, profiles).collect() if r.doc_id < 300 + len(short))
+    kept = {r.doc_id for r in language.keep_identified(more, profiles, corpus_pipeline.LEAST_SCORE).collect()}
+    assert kept == set(range(300, 300 + len(short)))
