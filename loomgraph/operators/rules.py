@@ -118,8 +118,8 @@ def evaluate(edges: DataFrame, types: DataFrame, tags: DataFrame, entities: Data
     }
 
 
-def write_back(facts: dict[str, DataFrame], memories: DataFrame, existing: DataFrame, most: int = MOST_DERIVED) -> DataFrame:
-    """New derived edges: both ends known, visibility of the narrower end, not there yet; smallest ids first."""
+def write_back(facts: dict[str, DataFrame], memories: DataFrame, existing: DataFrame, most: int | None = MOST_DERIVED) -> DataFrame:
+    """New derived edges: both ends known, visibility of the narrower end, not there yet; smallest ids first, all if ``most`` is None."""
     rows = None
     for rule, frame in facts.items():
         edges = written(rule, frame)
@@ -127,7 +127,8 @@ def write_back(facts: dict[str, DataFrame], memories: DataFrame, existing: DataF
     for side in ("from", "to"):
         rows = rows.join(memories.select(F.col("memory_id").alias(f"{side}_id"), F.col("visibility").alias(f"{side}_visibility")), f"{side}_id")
     rows = rows.withColumn("visibility", F.least("from_visibility", "to_visibility")).drop("from_visibility", "to_visibility")
-    return rows.join(existing.select("rel_id"), "rel_id", "left_anti").orderBy("rel_id").limit(most)
+    rows = rows.join(existing.select("rel_id"), "rel_id", "left_anti")
+    return rows if most is None else rows.orderBy("rel_id").limit(most)
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, k: int, most_nodes: int = 512, most_edges: int = 4096) -> DataFrame:

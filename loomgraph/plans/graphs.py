@@ -165,11 +165,31 @@ WRITTEN_SQL = " UNION ALL ".join(
 @query(f"SELECT rule, w.kind, CAST(min(least(a.visibility, b.visibility)) AS INT) AS narrowest, count(*) AS n FROM ({WRITTEN_SQL}) w JOIN mem a ON a.memory_id = w.from_id JOIN mem b ON b.memory_id = w.to_id GROUP BY 1, 2")
 def grf_17(spark, d):
     kept = {r: f for r, f in rule_frames(spark, d).items() if r in ("R4", "R5", "R8", "D2", "D3", "D4", "D5")}
-    none = edges(spark, d).limit(0)
-    done = rules.write_back(kept, memories(spark, d), none, most=1_000_000)
+    return written_counts(spark, d, kept)
+
+
+def written_counts(spark, d, facts_of_rules):
+    done = rules.write_back(facts_of_rules, memories(spark, d), edges(spark, d).limit(0), most=None)
     return done.groupBy("rule", "kind").agg(F.min("visibility").alias("narrowest"), F.count("*").alias("n"))
 
 
+ALL_WRITTEN_SQL = WRITTEN_SQL + "".join(
+    f" UNION ALL SELECT '{r}' AS rule, '{k}' AS kind, from_id, to_id FROM ({q})"
+    for r, k, q in [
+        ("R7", "RelatedTo", affinity_sql("entities")),
+        ("R9", "RelatedTo", affinity_sql("tags")),
+        ("D1", "Solves", "SELECT DISTINCT from_id, to_id FROM edge WHERE kind = 'Fixes' AND from_id IN (SELECT memory_id FROM mem WHERE memory_type = 'Fix')"),
+        ("D6", "RelatedTo", "SELECT a.memory_id AS from_id, b.memory_id AS to_id FROM mem a JOIN mem b ON a.session = b.session AND a.memory_id < b.memory_id"),
+    ]
+)
+
+
+@query(f"SELECT rule, w.kind, CAST(min(least(a.visibility, b.visibility)) AS INT) AS narrowest, count(*) AS n FROM ({ALL_WRITTEN_SQL}) w JOIN mem a ON a.memory_id = w.from_id JOIN mem b ON b.memory_id = w.to_id GROUP BY 1, 2")
+def grf_17_all(spark, d):
+    """All eleven rules written back; the SQL of grf_17 holds seven."""
+    return written_counts(spark, d, rule_frames(spark, d))
+
+
 @query("""SELECT rel_id FROM edge WHERE from_id IN (SELECT unnest([from_id, to_id]) FROM edge WHERE from_id IN ('doc:40', 'doc:41') OR to_id IN ('doc:40', 'doc:41')) OR to_id IN (SELECT unnest([from_id, to_id]) FROM edge WHERE from_id IN ('doc:40', 'doc:41') OR to_id IN ('doc:40', 'doc:41'))""")
 def grf_18(spark, d):
     seeds = spark.createDataFrame([("doc:40",), ("doc:41",)], "memory_id string")

@@ -33,3 +33,10 @@ def test_query(spark, duck, name):
     assert sorted(answer.columns) == columns
     at = [answer.columns.index(c) for c in columns]
     assert got == sorted(repr(tuple(row[i] for i in at)) for row in answer.fetchall())
+
+
+def test_all_rules_are_written_back_without_a_cap(spark):
+    found = {r.rule for r in catalog.queries()["grf_17_all"](spark, TABLES).collect()}
+    assert found >= {"R7", "R9", "D1", "D6"}, found
+    for name in ("grf_17", "grf_17_all"):
+        assert "Limit 1000000" not in catalog.queries()[name](spark, TABLES)._jdf.queryExecution().logical().toString()
