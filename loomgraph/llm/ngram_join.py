@@ -1,25 +1,29 @@
 """N-gram Jaccard join by vertical partitioning.
 
-All n-grams have one global order: rarer first (by the power of two of their document frequency),
-then by number.  The order is cut into fragments, each document's set is cut with it, overlaps of
-two documents are counted in each fragment on its own, and the counts are summed for each pair.
+All n-grams have one global order: those with numbers below a bound come first (the first fragment), and
+in it, rarer ones before more frequent ones.  The other numbers are cut into fragments of equal width.
+Each document's set is cut with the order, overlaps of two documents are counted in each fragment on its
+own, and the counts are summed for each pair.
 
 What keeps the join exact and far from all pairs:
 
-* Equal sets become one class, whose smallest document stands for it.
-* A document can only link if the n-grams it shares with others reach the threshold.  That is first
-  tested on one fragment of the numbers, a quarter of all, which drops most documents; documents
-  left are tested on their whole sets.
-* Candidates share an n-gram of their prefixes, at places and with sizes that still allow a link.
-* In a list of candidates for one n-gram, all are first compared with the list's hub, the document
-  whose n-gram comes first.  Whoever links to it is in the hub's component; only documents of other
-  components are then compared with the rest of the list, so a group of copies costs its size and
-  not its square.
+* Equal sets become one class, and only classes are compared.  A class is a row of its own even where
+  rows repeat an id; such ids tie their classes together when components are formed.
+* The first fragment holds a little more of a set than two linked documents may differ in, so linked
+  documents share an n-gram in it.  Sets that chance gave too little of it are used whole.
+* Candidates share an n-gram at places in the order, and with sizes, that still allow a link.
+* In a list of candidates for one n-gram, all are first compared with the list's hub, the document whose
+  n-gram comes first.  Whoever links to it is in the hub's component; only documents of other components
+  are then compared with the rest of the list, so a group of copies costs its size and not its square.
+* A pair's overlap in the first fragment bounds the whole; only pairs that can still link have their
+  other fragments counted.
+* Lists of frequent n-grams are cut by salts: hubs are found among the salts' hubs, and rows that meet
+  many others are repeated for the salts those are in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,112 +31,133 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import connected_components
+from loomgraph.llm.prefilter import likely, with_ids
 from loomgraph.llm.scratch import Scratch
 from loomgraph.llm.shingles import digest, shingle_sets
 
-#: Shingle numbers below this form the fragment of the first test.
-FIRST_FRAGMENT = np.uint64(1 << 62)
-#: The global order by power of two of the frequency is cut here, and each part again by sign.
-FREQUENCY_PARTS = 3
-FRAGMENTS = 2 * FREQUENCY_PARTS
+#: Fragments of the numbers beyond the first fragment.
+REST_FRAGMENTS = 3
+#: Parts of a list when its hub is sought, and rows that one repeated row meets.
+SALTS, SPREAD = 32, 256
 
 
-def _sets(words: int):
+def first_bound(percent: int) -> int:
+    """Numbers below this are the first fragment: 5/4 of the share in which linked sets may differ."""
+    return min((1 << 64) - 1, (1 << 64) * 5 * (100 - percent) // 400 + (1 << 58))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+
+
+def _sets(words: int, percent: int) -> Callable:
+    """id, n, digest, n_low and grams: the first fragment, or all if a link needs none of it."""
+    bound = np.uint64(first_bound(percent))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), words))
-            low = [s[: np.searchsorted(s, FIRST_FRAGMENT)].view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([len(x) for x in low], pa.int64()),
-                    _lists(low),
-                ],
-                ["id", "n", "digest", "n_low", "low"],
-            )
+            low = [int(np.searchsorted(s, bound)) for s in sets]
+            grams = [s if k <= len(s) - (len(s) * percent + 99) // 100 else s[:k] for s, k in zip(sets, low, strict=True)]
+            digests = [digest(s, batch.column(1)[i].as_py() if len(s) == 1 else "", words) if len(s) else None for i, s in enumerate(sets)]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(low, pa.int64()), _lists(grams)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "digest", "n_low", "grams"])
 
     return run
 
 
-def _grams(words: int):
+def _segments(words: int, percent: int) -> Callable:
+    """(key, fragment, grams) beyond the first fragment of the classes that a row is wanted for."""
+    bound = first_bound(percent)
+    width = ((1 << 64) - bound) // REST_FRAGMENTS + 1
+    cuts = np.array([bound + k * width for k in range(REST_FRAGMENTS)], np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array([len(s) for s in sets], pa.int64())] * 2, _lists(sets)], ["id", "n", "part_n", "grams"]
-            )
+            keys, fragments, grams = [], [], []
+            for i, s in enumerate(shingle_sets(batch.column(0), words)):
+                own = digest(s, batch.column(0)[i].as_py() if len(s) == 1 else "", words) if len(s) else None
+                for wanted in batch.column(1)[i].as_py():
+                    if wanted["digest"] == own:
+                        for k, part in enumerate(np.split(s, np.searchsorted(s, cuts))[1:]):
+                            keys.append(wanted["key"])
+                            fragments.append(k + 1)
+                            grams.append(part)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fragments, pa.int32()), _lists(grams)], ["key", "fragment", "grams"])
 
     return run
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-    values = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-
-
-def _needed(percent: int, n: str = "n") -> Column:
+def _needed(percent: int, n: str = "n") -> str:
     """The smallest overlap with which a document of ``n`` shingles can reach the threshold."""
-    return F.expr(f"({n} * {percent} + 99) div 100")
-
-
-def _fragment(gram: str, part: str) -> str:
-    """The fragment of the global order that an n-gram is in."""
-    return f"(({part} - 1) * 2 + IF({gram} < 0, 0, 1))"
+    return f"(({n} * {percent} + 99) div 100)"
 
 
 def _ordered(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, n, part_n, k, grams): shared n-grams in the global order, as structs (part, g).
+    """(key, n, n_low, k, k_low, grams): n-grams that others have too, as structs (rest, df, g) in the global order.
 
-    ``sets`` has (id, n, part_n, grams): of a document's ``n`` n-grams the ``part_n`` of a fragment,
-    or all.  Only documents whose ``k`` shared ones leave a link possible are kept: a partner misses
-    at most n - needed of a document's n-grams.
+    Only documents that the number of shared n-grams in the first fragment leaves a link are kept: a
+    partner misses at most n - needed of a document's n-grams.
     """
-    rows = sets.select("id", "n", "part_n", F.explode("grams").alias("g"))
+    rows = sets.select("key", F.explode("grams").alias("g"))
     often = rows.groupBy("g").agg(F.count("*").alias("df")).where("df >= 2")
-    often = often.select("g", F.expr(f"CAST(LEAST(FLOOR(LOG2(df)), {FREQUENCY_PARTS}) AS INT)").alias("part"))
-    shared = rows.join(often, "g").groupBy("id", "n", "part_n").agg(F.sort_array(F.collect_list(F.struct("part", "g"))).alias("grams"))
-    return shared.withColumn("k", F.size("grams").cast("long")).where(F.col("k") >= F.col("part_n") - F.col("n") + _needed(percent))
+    low = f"g >= 0 AND g < {first_bound(percent)}" if first_bound(percent) < 1 << 63 else f"g >= 0 OR g < {first_bound(percent) - (1 << 64)}"
+    shared = rows.join(often, "g").groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.expr(f"IF({low}, 0, 1)").alias("rest"), "df", "g"))).alias("grams"))
+    found = shared.join(sets.select("key", "n", "n_low", F.size("grams").cast("long").alias("part_n")), "key")
+    found = found.withColumn("k", F.size("grams").cast("long")).withColumn("k_low", F.expr("CAST(size(filter(grams, x -> x.rest = 0)) AS LONG)"))
+    return found.where(f"n_low - k_low <= n - {_needed(percent)}")
 
 
-def _lists_of_candidates(ordered: DataFrame, percent: int) -> DataFrame:
-    """(g, id, n, most, hub, hub_n, hub_most): entries of prefix lists in which a link is possible.
+def _candidates(ordered: DataFrame, percent: int) -> DataFrame:
+    """(g, key, n, most, members, hub, hub_n, hub_most): entries of lists in which a link is possible.
 
-    ``most`` is the largest size of a partner that an entry can reach from its place in the order;
-    n-grams outside the fragment count as if the partner had them all.
+    ``most`` is the largest size of a partner that an entry can reach from its place in the order.
     """
-    need = _needed(percent)
-    length = f"CAST(k - part_n + n - ((n * {percent} + 99) div 100) + 1 AS INT)"
-    prefix = ordered.select("id", "n", "k", "part_n", F.posexplode(F.expr(f"slice(grams, 1, {length})")).alias("at", "gram"))
-    place = F.col("part_n") - F.col("k") + F.col("at")
-    entries = prefix.select(F.col("gram.g").alias("g"), "id", "n", place.alias("place"))
-    entries = entries.withColumn("most", F.expr(f"((100 + {percent}) * (n - place)) div {percent} - n")).where(F.col("most") >= need)
-    lists = entries.groupBy("g").agg(
-        F.count("*").alias("members"), F.min("n").alias("least_n"), F.max("most").alias("top"), F.min(F.struct("place", "id", "n", "most")).alias("hub")
-    ).where("members > 1")
-    return entries.join(lists, "g").where("most >= least_n AND n <= top").select(
-        "g", "id", "n", "most", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.most").alias("hub_most")
+    entries = ordered.select("key", "n", "n_low", "k_low", "k", "part_n", F.posexplode("grams").alias("at", "x"))
+    place = F.expr("IF(x.rest = 0, n_low - k_low, part_n - k) + at")
+    entries = entries.select(F.col("x.g").alias("g"), "key", "n", place.alias("place")).where(f"place <= n - {_needed(percent)}")
+    entries = entries.withColumn("most", F.expr(f"((100 + {percent}) * (n - place)) div {percent} - n")).where(f"most >= {_needed(percent)}")
+    entries = entries.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    parts = entries.groupBy("g", "salt").agg(
+        F.count("*").alias("members"), F.min("n").alias("least_n"), F.max("most").alias("top"), F.min(F.struct("place", "key", "n", "most")).alias("hub")
+    )
+    lists = parts.groupBy("g").agg(F.sum("members").alias("members"), F.min("least_n").alias("least_n"), F.max("top").alias("top"), F.min("hub").alias("hub"))
+    lists = parts.select("g", "salt").join(lists.where("members > 1"), "g")
+    return entries.join(lists, ["g", "salt"]).where("most >= least_n AND n <= top").select(
+        "g", "key", "n", "most", "members", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.most").alias("hub_most")
     )
 
 
-def _candidate_ids(ordered: DataFrame, percent: int) -> DataFrame:
-    """(id): documents that are in a list with a possible partner."""
-    return _lists_of_candidates(ordered, percent).select("id").distinct()
+def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """(a, b, overlap) of the pairs (a, b, spread) that share an n-gram of a fragment, summed over fragments.
 
+    A row may meet many others as ``a``: its segments are repeated for as many salts as its pairs name.
+    """
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("spread")).alias("salt"))
+    repeats = pairs.groupBy("a").agg(F.max("spread").alias("spread"))
+    left = likely(segments.select(F.col("key").alias("a"), "fragment", F.col("grams").alias("a_grams")), pairs, "a").join(repeats, "a")
+    left = left.select("a", "fragment", "a_grams", F.explode(F.sequence(F.lit(0).cast("long"), F.col("spread") - 1)).alias("salt"))
+    right = likely(segments.select(F.col("key").alias("b"), "fragment", F.col("grams").alias("b_grams")), pairs, "b")
+    partial = salted.join(left, ["a", "salt"]).join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("a_grams", "b_grams")).alias("overlap"))
+    return partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
 
-def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose summed overlaps reach the threshold."""
-    left = segments.select(F.col("id").alias("a"), F.col("n").alias("a_n"), "fragment", F.col("grams").alias("a_grams"))
-    right = segments.select(F.col("id").alias("b"), F.col("n").alias("b_n"), "fragment", F.col("grams").alias("b_grams"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_grams", "b_grams")).alias("overlap"))
-    total = partial.groupBy("a", "b", "a_n", "b_n").agg(F.sum("overlap").alias("overlap"))
-    return total.where(F.expr(f"100 * overlap >= {percent} * (a_n + b_n - overlap)")).select("a", "b")
 
+def _links(pairs: DataFrame, first: DataFrame, rest: DataFrame, percent: int, scratch: Scratch, label: str) -> DataFrame:
+    """Of the pairs (a, b, spread), those whose summed overlaps reach the threshold.
 
-def _ordered_pair(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    ``first`` has (key, n, n_low, fragment, grams) of the first fragment, ``rest`` (key, fragment, grams).
+    """
+    sizes = first.select("key", "n", (F.col("n") - F.col("n_low")).alias("beyond"))
+    named = pairs.join(sizes.toDF("a", "a_n", "a_beyond"), "a").join(sizes.toDF("b", "b_n", "b_beyond"), "b")
+    part = _overlaps(pairs, first.select("key", "fragment", "grams")).withColumnRenamed("overlap", "low")
+    enough = "100 * ({0}) >= " + str(percent) + " * (a_n + b_n - ({0}))"
+    open_ = named.join(part, ["a", "b"], "left").withColumn("low", F.coalesce("low", F.lit(0))).where(enough.format("low + least(a_beyond, b_beyond)"))
+    open_ = scratch.write(f"{label}-open", open_)
+    more = _overlaps(open_.select("a", "b", "spread"), rest)
+    total = open_.join(more, ["a", "b"], "left").withColumn("all", F.col("low") + F.coalesce("overlap", F.lit(0)))
+    return scratch.write(label, total.where(enough.format("all")).select("a", "b"))
 
 
 def ngram_jaccard_components(
@@ -143,72 +168,70 @@ def ngram_jaccard_components(
     Words are runs of characters other than space and 0x09-0x0D, A-Z in lower case.  A document's set
     holds its distinct shingles of ``words`` words; a shorter text's set is its whole sequence.  Two
     documents link if 100 * intersection >= ``percent`` * union; ``component_id`` is the smallest id
-    that can be reached.  No pair is left out, and whole texts count.
+    that can be reached.  No pair is left out, and whole texts count.  Shingles are compared by 64-bit
+    numbers and equal sets by 128-bit ones.
 
     Cases: a null or wordless text has no shingles and stands alone.  A null id stays in the result
-    with a null component.  Repeated rows give equal rows.  If rows repeat an id with different texts,
-    they are rows of their own, of which one is compared with other documents.  Other columns are ignored.  An empty table gives an empty result.
+    with a null component and links with nothing.  Repeated rows give equal rows.  Rows that repeat an
+    id with different texts are one document of several texts: all that is linked to one of them is in
+    its component.  Other columns are ignored.  An empty table gives an empty result.
     """
     if not 0 < percent <= 100 or words < 1:
         raise ValueError("percent must be 1 to 100 and words at least 1")
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "ngram")
+    scratch = Scratch(documents.sparkSession, "ngram")
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    sets = scratch.write("sets", texts.mapInArrow(_sets(words), "id long, n long, digest binary, n_low long, low array<long>"))
+    sets = texts.mapInArrow(_sets(words, percent), "id long, n long, digest binary, n_low long, grams array<long>")
+    sets = scratch.write("sets", sets.withColumn("key", F.monotonically_increasing_id()))
     known = sets.where("n > 0 AND id IS NOT NULL")
-    classes = scratch.write("classes", known.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("members")))
-    copies = known.select("id", "digest").join(classes.where("members > 1"), "digest").where("id <> rep")
-    copies = scratch.write("copies", copies.select("id").distinct())
-
-    # the first fragment: which documents are in a list of candidates, or have too few n-grams to tell
-    slack = F.col("n") - _needed(percent)
-    single = known.join(copies, "id", "left_anti").withColumnRenamed("n_low", "part_n")
-    first = scratch.write("first", _ordered(single.select("id", "n", "part_n", F.col("low").alias("grams")), percent))
-    hopeful = _candidate_ids(first, percent).unionByName(known.where(F.col("n_low") <= slack).select("id"))
-    chosen = scratch.write("chosen", hopeful.join(copies, "id", "left_anti").distinct())
-    scratch.drop("first")
-
-    # whole sets of those; the list of ids has no bound and is never broadcast, at no size
-    again = texts.join(chosen.hint("merge"), "id", "left_semi").mapInArrow(_grams(words), "id long, n long, part_n long, grams array<long>")
-    grams = scratch.write("grams", again)
-    if grams.count() != chosen.count():  # rows that repeat an id
-        grams = scratch.write("grams-once", grams.groupBy("id").agg(F.min_by(F.struct("n", "part_n", "grams"), F.xxhash64("grams")).alias("s")).select("id", "s.*"))
-    ordered = scratch.write("ordered", _ordered(grams, percent))
-    scratch.drop("grams")
-    lists = scratch.write("lists", _lists_of_candidates(ordered, percent))
-    needed_ids = lists.select("id").distinct()
-    segments = ordered.join(needed_ids, "id", "left_semi").select("id", "n", "grams", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
-    segments = segments.select("id", "n", "fragment", F.expr(f"transform(filter(grams, x -> {_fragment('x.g', 'x.part')} = fragment), x -> x.g)").alias("grams"))
-    segments = scratch.write("segments", segments.where(F.size("grams") > 0))
-
-    star = lists.where("id <> hub AND n <= hub_most AND hub_n <= most").select(*_ordered_pair("id", "hub")).distinct()
-    links = scratch.write("links-star", _linked(star, segments, percent))
+    # a class of equal sets: its smallest id names it, its first row's key stands for it
+    classes = scratch.write("classes", known.groupBy("digest").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.count("*").alias("members")))
+    copies = known.select("key", "digest").join(classes.where("members > 1").select("digest", F.col("key").alias("first")), "digest").where("key <> first")
+    single = known.join(copies.select("key"), "key", "left_anti")
+
+    ordered = scratch.write("ordered", _ordered(single.select("key", "n", "n_low", "grams"), percent))
+    lists = scratch.write("lists", _candidates(ordered, percent))
+    chosen = lists.select("key").distinct()
+    in_lists = ordered.join(chosen, "key", "left_semi")
+    first = scratch.write("first", in_lists.select("key", "n", "n_low", F.lit(0).alias("fragment"), F.expr("transform(filter(grams, x -> x.rest = 0), x -> x.g)").alias("grams")))
+    scratch.drop("ordered")
+
+    # the other fragments, from the texts of the chosen; one row of each class has its key
+    ids = known.join(chosen, "key", "left_semi").groupBy("id").agg(F.collect_set(F.struct("digest", "key")).alias("wanted"))
+    texts_of = with_ids(texts, scratch.write("ids", ids), "id").select("text", "wanted")
+    rest = scratch.write("rest", texts_of.mapInArrow(_segments(words, percent), "key long, fragment int, grams array<long>"))
+    if rest.count() != REST_FRAGMENTS * first.count():  # rows that repeat both id and text
+        rest = scratch.write("rest-once", rest.dropDuplicates(["key", "fragment"]))
+
+    spread = F.expr(f"(members + {SPREAD - 1}) div {SPREAD}")
+    star = lists.where("key <> hub AND n <= hub_most AND hub_n <= most").groupBy(F.col("hub").alias("a"), F.col("key").alias("b")).agg(F.max(spread).alias("spread"))
+    links = _links(scratch.write("star", star), first, rest, percent, scratch, "links-star")
     parts = scratch.write("parts", connected_components(links, "a", "b", scratch, "cc-star"))
 
     # what other components the lists still hold, against the rest of their lists
-    def component(column: str) -> Column:
-        return F.coalesce(column, column.replace("_part", ""))
-
-    named = lists.join(parts.select(F.col("node").alias("id"), F.col("component").alias("id_part")), "id", "left")
+    named = lists.join(parts.select(F.col("node").alias("key"), F.col("component").alias("key_part")), "key", "left")
     named = named.join(parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_part")), "hub", "left")
-    named = scratch.write("named", named.select("g", "id", "n", "most", component("id_part").alias("part"), component("hub_part").alias("main")))
-    outer = named.where("part <> main").alias("x")
-    open_lists = outer.select("g").distinct()
-    rest = named.join(open_lists, "g", "left_semi").alias("y")
-    differ = "x.g = y.g AND x.part <> y.part AND (y.part = y.main OR x.id < y.id) AND x.n <= y.most AND y.n <= x.most"
-    cross = outer.join(rest, F.expr(differ)).select(*_ordered_pair("x.id", "y.id")).distinct()
-    more = scratch.write("links-rest", _linked(cross, segments, percent))
-    if more.isEmpty():
-        final = parts
-    else:
-        final = connected_components(links.unionByName(more), "a", "b", scratch, "cc-all")
-    final = scratch.write("final", final)
-
-    out = sets.select("id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")
-    out = out.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select(
-        F.col("id").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "id")).alias("component_id"),
-    )
+    named = named.select("g", "key", "n", "most", spread.alias("spread"), F.coalesce("key_part", "key").alias("part"), F.coalesce("hub_part", "hub").alias("main"))
+    named = scratch.write("named", named)
+    outer = named.where("part <> main")
+    remaining = named.join(outer.select("g").distinct(), "g", "left_semi").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("spread"))).alias("y")
+    outer = outer.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("spread") - 1))).alias("x")
+    differ = "x.g = y.g AND x.salt = y.salt AND x.part <> y.part AND (y.part = y.main OR x.key < y.key) AND x.n <= y.most AND y.n <= x.most"
+    cross = outer.join(remaining, F.expr(differ)).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.max("x.spread").alias("spread"))
+    more = _links(scratch.write("cross", cross), first, rest, percent, scratch, "links-rest")
+
+    # the classes that an id ties together, and components that are tied or linked by the rest of lists
+    of_ids = known.select("id", "digest").join(classes.select("digest", "key"), "digest").groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    several = known.select("id", "digest").join(of_ids.where("a <> b").select("id", "a"), "id").join(classes.select("digest", F.col("key").alias("b")), "digest")
+    part = parts.toDF("key", "part")
+    extra = more.unionByName(several.select("a", "b")).join(part.toDF("a", "u"), "a", "left").join(part.toDF("b", "v"), "b", "left")
+    extra = scratch.write("extra", extra.select(F.coalesce("u", "a").alias("u"), F.coalesce("v", "b").alias("v")).where("u <> v").distinct())
+    final = scratch.write("final", connected_components(extra, "u", "v", scratch, "cc-all"))
+
+    of_classes = classes.select("digest", "key", "rep").join(part, "key", "left").withColumn("part", F.coalesce("part", "key"))
+    of_classes = of_classes.join(final.toDF("part", "whole"), "part", "left").withColumn("whole", F.coalesce("whole", "part"))
+    smallest = of_classes.groupBy("whole").agg(F.min("rep").alias("component_id"))
+    of_classes = scratch.write("of-classes", of_classes.join(smallest, "whole").select("digest", "component_id"))
+    found = known.select("id", "n", "digest").join(of_classes, "digest").select("id", "n", "component_id")
+    alone = sets.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
+    return found.unionByName(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")

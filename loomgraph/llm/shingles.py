@@ -1,8 +1,9 @@
 """Word shingles of whole texts as 64-bit numbers, computed over the bytes of many texts at once.
 
-A word's number is a polynomial over its bytes modulo 2**64, taken from one running sum over the
-whole block; a shingle's number folds the numbers of its words.  Words are runs of bytes other than
-space and 0x09-0x0D, with A-Z in lower case.
+Words are runs of bytes other than space and 0x09-0x0D, with A-Z in lower case.  A word's number mixes
+its bytes, eight at a time, into its length; a word of up to eight bytes has a number that no other such
+word of its length has.  Long words get their number from BLAKE2.  A shingle's number folds the numbers
+of its words.
 """
 
 from __future__ import annotations
@@ -13,29 +14,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BASE = np.uint64(0x9E6D62D06F6A9A9B)
-BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK_BYTES = 1 << 20
+#: Bytes mixed at a time, and the longest word that is mixed so.
+LANE, LONG_WORD = 8, 64
+#: Masks that keep the first 0 to 8 bytes of a little-endian number.
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(LANE + 1)], np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 GAP = np.zeros(256, dtype=bool)
 GAP[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of BASE and of its inverse; kept for the next block."""
-    if len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for i, base in enumerate((BASE, BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers in which every input bit changes about half of the output."""
@@ -58,10 +48,17 @@ def word_numbers(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     ends[:-1] &= ~solid[1:]
     ends[inner - 1] = solid[inner - 1]
     start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = powers(len(data) + 1)
-    running = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:-1], out=running[1:])
-    numbers = mix((running[stop] - running[start]) * down[start] + (stop - start).astype(np.uint64))
+    lower = np.zeros(len(data) + LANE, np.uint8)
+    lower[: len(data)] = LOWER[data]
+    lanes = np.ndarray(len(data), np.dtype("<u8"), lower, strides=(1,))  # eight bytes from each place on
+    size = stop - start
+    numbers = mix(size.astype(np.uint64))
+    left = np.arange(len(start))
+    for at in range(0, min(LONG_WORD, int(size.max(initial=0))), LANE):
+        left = left[size[left] > at]
+        numbers[left] = mix(numbers[left] * MIX_A + (lanes[start[left] + at] & MASKS[np.minimum(size[left] - at, LANE)]))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        numbers[i] = int.from_bytes(hashlib.blake2b(lower[start[i] : stop[i]].tobytes(), digest_size=8).digest(), "little")
     words = np.diff(np.searchsorted(start, bounds))
     return numbers, words
 
@@ -95,7 +92,8 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
             full = folded(numbers, np.arange(max(0, len(numbers) - words + 1)), words)
             for stop, count in zip(stops.tolist(), counts.tolist(), strict=True):
                 if count >= words:
-                    yield np.unique(full[stop - count : stop - words + 1])
+                    found = np.sort(full[stop - count : stop - words + 1])
+                    yield found[np.concatenate([[True], found[1:] != found[:-1]])]
                 elif count:
                     yield folded(numbers, np.array([stop - count]), count)
                 else:
@@ -103,6 +101,9 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
         low = high
 
 
-def digest(shingles: np.ndarray) -> bytes:
-    """128 bits that stand for a whole set."""
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+def digest(shingles: np.ndarray, text: str, words: int) -> bytes:
+    """128 bits that stand for a whole set: of its numbers, or of the words themselves if there is but one shingle."""
+    if len(shingles) > 1:
+        return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    lower = text.encode("utf-8", "surrogatepass").translate(LOWER.tobytes()).split()
+    return hashlib.blake2b(b" ".join(lower[: max(words, 1)]), digest_size=16, person=b"one").digest()
