@@ -3,17 +3,19 @@
 The network is trained in numpy from labelled spans.  A text is read in overlapping windows; every
 window is decoded on its own, and of all windows' spans the set of non-overlapping ones with the
 largest total score is kept.  Windows that hold neither an @ nor four digits are passed over: none of
-the kinds can be in them.  An exact check of each kind's form follows, so the network adds spans that
-the plain patterns miss (other separators, missing +) and never removes one.
+the kinds can be in them.  What defines a kind is checked on each of the network's spans - digits, separators, check digit,
+parts of an address - so it adds spans that the plain patterns miss (other separators, missing +, letters
+outside ASCII) and never removes one.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -404,11 +406,21 @@ def _runs(path: np.ndarray) -> Iterator[Span]:
 
 
 def all_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, int, bool]]]:
-    """Base spans of each text, then the added ones that overlap none of them."""
+    """Base spans of each text, then the added ones.
+
+    An added span overlaps no base span, or it is longer and has its kind: a plain pattern that knows
+    ASCII letters alone finds a part of some addresses.
+    """
     out = []
     for text, more in zip(texts, added_spans(texts, tagger), strict=True):
-        base = base_spans(text)
-        free = [s for s in more if not any(a < s[2] and s[1] < b for _, a, b in base)]
+        base = sorted(base_spans(text), key=lambda s: s[1])
+        tops = list(accumulate((b for *_, b in base), max))  # the furthest end so far
+        free = []
+        for kind, a, b in more:
+            first, last = bisect_right(tops, a), bisect_left(base, b, key=lambda s: s[1])
+            met = [s for s in base[first:last] if a < s[2]]
+            if all(k == kind and a <= x and y <= b and y - x < b - a for k, x, y in met):
+                free.append((kind, a, b))
         out.append([(*s, True) for s in base] + [(*s, False) for s in free])
     return out
 
