@@ -2,7 +2,8 @@
 
 Three plain patterns give the base spans.  The method adds spans: runs that look like base64 or hex,
 key blocks and dotted tokens are decoded, and only what parses is reported - a private key's nested
-DER lengths, a key file's length-prefixed fields, a signed token's JSON header.
+DER lengths, a key file's length-prefixed fields, a signed token's JSON header and encoded parts.  What a
+key block calls itself proves nothing.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,16 +28,20 @@ BASE_KINDS = ("assign", "access", "hex")
 ADDED_KINDS = ("private_key", "public_key", "ssh_key", "signed_token", "encoded_text")
 KINDS = BASE_KINDS + ADDED_KINDS
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}(?:\.[A-Za-z0-9_-]*){0,2}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s\\]{16,}?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:\\[nrt]|\s)*Proc-Type: 4,ENCRYPTED(?:\\[nrt]|\s)+DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]{16,32}(?=[\s\\]))?([A-Za-z0-9+/=\s\\]{16,}?)-----END \1-----")
 #: A part of a dotted token; tokens start at any "eyJ", which is the base64 of {".
 PART = re.compile(r"[A-Za-z0-9_-]*")
 #: Line breaks in a key block, also as two-character escapes.
 PEM_BREAK = re.compile(r"(?:\\[nrt]|[\s\\])+")
 #: Usual white space, which isprintable() refuses.
 SPACES = str.maketrans("\t\n\r\f", "    ")
+#: Fixed value: how the key files of one format begin.
+OPENSSH = b"openssh-key-v1\0"
 HEX_RUN = re.compile(r"[0-9a-f]{24,}")
-HEX_ANY = re.compile(r"(?:[0-9A-Fa-f]{2}){12,}")
+HEX_ANY = re.compile(r"[0-9A-Fa-f]{24,}")
 
+JSON = json.JSONDecoder()
+FIRST_KEY = re.compile(r'\{"[^"\\\x00-\x1f]*"\s*:')
 Span = tuple[str, int, int]
 
 
@@ -83,34 +89,49 @@ def der_kind(data: bytes) -> str | None:
     tags = [t for t, _ in body]
     if tags[:1] == [0x02] and len(body[0][1]) == 1:  # a version first: a private key
         return "private_key" if len(tags) >= 9 and set(tags) == {0x02} or tags[1:2] in ([0x04], [0x30]) else None
-    if tags == [0x30, 0x03] and body[0][1] and body[0][1][0][0] == 0x06:
-        return "public_key"
+    if tags in ([0x30, 0x03], [0x30, 0x04]) and body[0][1] and body[0][1][0][0] == 0x06:  # an algorithm first
+        return "public_key" if tags[1] == 0x03 else "private_key"  # the latter is encrypted
     return None
 
 
-def ssh_kind(data: bytes) -> str | None:
-    """A key file's format: fields, each after its length in four bytes, that fill the data."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return "private_key"
-    at, fields = 0, []
-    while at + 4 <= len(data):
+def fields_of(data: bytes, at: int = 0, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Fields, each after its length in four bytes, and where they end; None if a length leads beyond the data."""
+    fields = []
+    while at + 4 <= len(data) and (most is None or len(fields) < most):
         size = int.from_bytes(data[at : at + 4], "big")
-        at += 4
-        if at + size > len(data):
+        if at + 4 + size > len(data):
             return None
-        fields.append(data[at : at + size])
-        at += size
-    named = fields and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,60}", fields[0])
-    return "ssh_key" if at == len(data) and len(fields) >= 2 and named else None
+        fields.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    return fields, at
 
 
-def token_header(first: str) -> bool:
-    """Whether a dotted token's first part is a JSON object that names an algorithm."""
-    try:
-        header = json.loads(unbase64(first) or b"0")
-    except ValueError:
-        return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str)
+def ssh_kind(data: bytes) -> str | None:
+    """A key file's format: all fields parse, and they fill the data."""
+    if data.startswith(OPENSSH):
+        head = fields_of(data, len(OPENSSH), 3)  # cipher, key derivation and its options
+        if head is None or len(head[0]) < 3 or not re.fullmatch(rb"[a-z0-9@.-]{4,40}", head[0][0]):
+            return None
+        keys = int.from_bytes(data[head[1] : head[1] + 4], "big")
+        body = fields_of(data, head[1] + 4)
+        whole = body and body[1] == len(data) and keys >= 1 and len(body[0]) == keys + 1
+        return "private_key" if whole and all(ssh_kind(k) == "ssh_key" for k in body[0][:-1]) else None
+    found = fields_of(data)
+    named = found and found[0] and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,60}", found[0][0])
+    return "ssh_key" if named and found[1] == len(data) and len(found[0]) >= 2 else None
+
+
+def packet_kind(data: bytes) -> str | None:
+    """A secret-key packet at the start: its tag, a length that fits, and a known version."""
+    if len(data) < 8 or not data[0] & 0x80:
+        return None
+    if data[0] & 0x40:
+        tag = data[0] & 0x3F
+        width, size = (1, data[1]) if data[1] < 192 else (2, (data[1] - 192 << 8) + data[2] + 192) if data[1] < 224 else (5, int.from_bytes(data[2:6], "big"))
+    else:
+        tag, width = data[0] >> 2 & 0x0F, 1 << (data[0] & 3)
+        size = int.from_bytes(data[1 : 1 + width], "big") if width < 8 else 0
+    return "private_key" if tag == 5 and 16 <= size <= len(data) - 1 - width and 3 <= data[1 + width] <= 6 else None
 
 
 def unbase64(run: str) -> bytes | None:
@@ -144,18 +165,50 @@ def structure(data: bytes, depth: int = 0) -> str | None:
     return inner[0][0] if inner else None
 
 
+class _Run:
+    """A run that token headers may begin in: for each alignment it is decoded once."""
+
+    def __init__(self, text: str, end: int):
+        self.text, self.end, self.decoded = text, end, {}
+
+    def header(self, at: int) -> dict | None:
+        """The JSON object that the characters from ``at`` to the run's end encode."""
+        if at % 4 not in self.decoded:
+            self.decoded[at % 4] = at, (unbase64(self.text[at : self.end]) or b"").decode("latin-1")
+        base, data = self.decoded[at % 4]
+        place = (at - base) // 4 * 3
+        if not data.endswith("}") or not FIRST_KEY.match(data, place):  # most starts need no parser
+            return None
+        try:
+            found, end = JSON.raw_decode(data, place)
+        except (ValueError, RecursionError):
+            return None
+        return found if isinstance(found, dict) and end == len(data) else None
+
+
 def token_spans(text: str) -> list[Span]:
-    """Three dotted parts of which the first is a token's header, wherever it starts in a run."""
+    """Signed tokens, wherever they begin in a run of characters.
+
+    Three dotted parts: a JSON header that names an algorithm, then a payload and a signature that decode;
+    only a token of no algorithm may have an empty signature.
+    """
     found: list[Span] = []
-    at = text.find("eyJ")
+    at, run = text.find("eyJ"), None
     while at >= 0:
-        one = PART.match(text, at).end()
-        two = PART.match(text, one + 1).end() if text[one : one + 1] == "." else one
-        if two <= one + 1 or text[two : two + 1] != ".":
-            at = text.find("eyJ", one)  # no token begins in this part
-        elif token_header(text[at:one]):
-            found.append(("signed_token", at, PART.match(text, two + 1).end()))
-            at = text.find("eyJ", found[-1][2])
+        if run is None or at >= run.end:
+            run = _Run(text, PART.match(text, at).end())
+            parts, end = [], run.end
+            while len(parts) < 2 and text[end : end + 1] == ".":
+                start, end = end + 1, PART.match(text, end + 1).end()
+                parts.append(text[start:end])
+            good = len(parts) == 2 and bool(unbase64(parts[0])) and unbase64(parts[1]) is not None
+        if not good:
+            at = text.find("eyJ", run.end)  # no token begins in this part
+            continue
+        header = run.header(at)
+        if header and isinstance(header.get("alg"), str) and (parts[1] or header["alg"] == "none"):
+            found.append(("signed_token", at, end))
+            at = text.find("eyJ", end)
         else:
             at = text.find("eyJ", at + 1)
     return found
@@ -164,14 +217,21 @@ def token_spans(text: str) -> list[Span]:
 def added_spans(text: str, depth: int = 0) -> list[Span]:
     """Candidates that decode and parse; ``depth`` counts the encodings that ``text`` was in."""
     found: list[Span] = token_spans(text)
-    tokens = list(found)
+    starts, ends = [a for _, a, _ in found], [b for *_, b in found]
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            kind = structure(unbase64(PEM_BREAK.sub("", m[2])) or b"", depth)
-            if kind or "PRIVATE KEY" in m[1]:
-                found.append((kind or "private_key", m.start(), m.end()))
+            data = unbase64(PEM_BREAK.sub("", m[3])) or b""
+            if m[2]:  # encrypted as its fields say: whole cipher blocks are all that can be confirmed
+                kind = "private_key" if data and len(data) % 8 == 0 else None
+            elif m[1].startswith("PGP"):
+                kind = packet_kind(unbase64(PEM_BREAK.sub("", m[3].strip()[:-5])) or data)
+            else:
+                kind = structure(data, depth)
+            if kind:
+                found.append((kind, m.start(), m.end()))
     for m in ENCODED.finditer(text):
-        if any(a <= m.start() < b for _, a, b in tokens):
+        before = bisect_right(starts, m.start()) - 1
+        if before >= 0 and m.start() < ends[before]:
             continue
         first = m[0].split(".")[0]
         data = unbase64(first)
@@ -179,10 +239,13 @@ def added_spans(text: str, depth: int = 0) -> list[Span]:
         if kind:
             found.append((kind, m.start(), m.start() + len(first)))
     for m in HEX_ANY.finditer(text):
-        kind = structure(bytes.fromhex(m[0]), depth)
-        if kind:
-            found.append((kind, m.start(), m.end()))
-    return [s for i, s in enumerate(found) if s not in found[:i]]
+        odd = len(m[0]) % 2
+        for a, b in ((m.start(), m.end() - odd), (m.start() + odd, m.end()))[: 1 + odd]:
+            kind = structure(bytes.fromhex(text[a:b]), depth)
+            if kind:
+                found.append((kind, a, b))
+                break
+    return list(dict.fromkeys(found))
 
 
 def listed(spans: list[Span]) -> str:
@@ -197,7 +260,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(1):
             text = text.as_py() or ""
             base = base_spans(text)
-            added = [s for s in added_spans(text)]
+            added = added_spans(text)
             rows.append([{"kind": k, "start": a, "stop": b, "base": i < len(base)} for i, (k, a, b) in enumerate(base + added)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(span))], ["doc_id", "spans"])
 
