@@ -34,6 +34,36 @@ def test_nearest_has_recall_and_exact_scores(spark):
     assert [i for _, i, _ in sorted(got[600])] == [601, 602, 603, 604, 605]  # ties by id
 
 
+def test_nearest_of_many_queries(spark):
+    """Recall of 600 queries, of which a third asks with one very common vector, and components that overflow when squared."""
+    g = np.random.default_rng(2)
+    x = g.normal(size=(12_000, 32))
+    x *= 10.0 ** g.integers(-150, 200, (12_000, 1))
+    x[3000:7000] = x[3000]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(frame, F.col("vec_id") % 20 == 0, k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert set(got) == set(range(0, 12_000, 20))
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    unit /= np.sqrt((unit**2).sum(axis=1, keepdims=True))
+    hit = 0
+    for q, found in got.items():
+        if 3000 <= q < 7000:
+            assert [i for _, i in sorted(found)] == [i for i in range(3000, 3006) if i != q][:5]
+        score = unit @ unit[q]
+        score[q] = -2
+        hit += len({i for _, i in found} & set(np.lexsort((np.arange(len(x)), -score))[:5].tolist())) if not 3000 <= q < 7000 else 5
+    assert hit / (5 * len(got)) >= 0.9
+
+
+def test_repeated_rows_and_queries(spark):
+    rows = [(0, [1.0, 0.0])] * 3 + [(1, [2.0, 0.0])] * 8 + [(2, [0.0, 1.0]), (3, [1.0, 1.0]), (3, [1.0, -0.5]), (None, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(frame, F.col("vec_id").isin(0, 1), k=5).collect())
+    assert got == [(0, k, 1) for k in range(1, 6)] + [(1, 1, 0), (1, 2, 0), (1, 3, 0), (1, 4, 3), (1, 5, 3)]
+
+
 def test_nearest_of_few_rows(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 3.0])], "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in ann.nearest(frame, F.col("vec_id") == 0, k=5).collect())
