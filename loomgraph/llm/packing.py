@@ -1,8 +1,8 @@
 """Best-fit packing of token pieces by patterns of few documents.
 
 The lengths' histogram decides everything, so only it (one row for each possible length) goes to the
-driver.  Patterns of up to four lengths that fill a sequence are enumerated on a grid; non-negative
-least squares fits how often each is repeated; the counts are rounded and drawn as far as lengths are left
+driver.  Patterns of up to four lengths that fill a sequence are enumerated on a grid of ``GRID`` steps,
+those of four on one of 32 steps; non-negative least squares fits how often each is repeated; the counts are rounded and drawn as far as lengths are left
 that fill a sequence exactly; the rest goes to the smallest gap that holds it, longest first.  The plan says which ranks of a length
 go where.  Ranks are counted in blocks of a length and a partition, so no length is one task's.
 """
@@ -46,8 +46,9 @@ def patterns(grid: int = GRID, most: int = PATTERN_DOCUMENTS) -> np.ndarray:
 
 
 def fit(chosen: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int = 600) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |W(Ax - target)|, by the active-set method.
+    """Repeat counts x >= 0 that minimise |W(Ax - target)|, by the active-set method in at most ``steps`` steps.
 
+    The steps bound the search, not what is packed: what no count covers is packed as a residual.
     ``chosen`` holds the patterns; column j of A counts how often each length is in pattern j.
     """
     size, length = len(chosen), len(target)
@@ -227,32 +228,36 @@ def assign_sequences(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
     Sequences are filled without gaps from offset 0 and hold at most ``capacity``.  Rows without a
     length are left out; repeated rows and null ids are items of their own; an empty table gives an
-    empty result.  A column of ``pieces`` named like one of the new ones is replaced.
+    empty result.  A column of ``pieces`` named like one of the new ones is replaced; _part, _rank and
+    _first are names of its own and dropped.  To the driver and with each task go a row for each length
+    and the plan's runs of ranks, both bounded by the capacity's square and not by the rows.
     """
     scratch = Scratch(pieces.sparkSession, "pack")
-    kept = pieces.drop("sequence_id", "offset", "_part", "_rank").where("length IS NOT NULL")
+    kept = pieces.drop("sequence_id", "offset", "_part", "_rank", "_first").where("length IS NOT NULL")
     kept = scratch.write("pieces", kept.withColumn("_part", F.spark_partition_id()))
-    counts = kept.groupBy("length", "_part").agg(F.count("*").alias("rows"))
+    counts = kept.groupBy("length", "_part").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    first = scratch.write("first", counts.withColumn("first", F.coalesce(F.sum("rows").over(before), F.lit(0))))
-    histogram = {r["length"]: r["rows"] for r in first.groupBy("length").agg(F.sum("rows").alias("rows")).collect()}  # a row for each length
+    first = scratch.write("first", counts.withColumn("_first", F.coalesce(F.sum("_rows").over(before), F.lit(0))))
+    histogram = {r["length"]: r["_rows"] for r in first.groupBy("length").agg(F.sum("_rows").alias("_rows")).collect()}  # a row for each length
     length, rank, sequence, offset = placements(pack_histogram(histogram, capacity))
     width = np.int64(1 << 44)
     keys = length * width + rank
 
+    names = [c for c in kept.columns if c != "_part"]
+    plain = [f"c{i}" for i in range(len(names))]  # whatever characters the names have
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_length = names.index("length")
         for batch in batches:
-            n, r = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
+            n, r = (batch.column(i).to_numpy(zero_copy_only=False) for i in (at_length, len(names)))
             at = np.searchsorted(keys, n * width + r, "right") - 1
-            columns = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence[at] + r - rank[at]), pa.array(offset[at])], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence[at] + r - rank[at]), pa.array(offset[at])], [*plain, "sequence_id", "offset"])
 
-    names = [c for c in kept.columns if c != "_part"]
     order = Window.partitionBy("length", "_part").orderBy(*[c for c in ("doc_id", "piece", "ids_crc32") if c in names])
-    ranked = kept.withColumn("_rank", F.row_number().over(order) - 1).join(first.select("length", "_part", "first"), ["length", "_part"])
-    ranked = ranked.select(*names, (F.col("_rank") + F.col("first")).alias("_rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_part")
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    ranked = kept.withColumn("_rank", F.row_number().over(order) - 1).join(first.select("length", "_part", "_first"), ["length", "_part"])
+    ranked = ranked.select(*[F.col(f"`{c}`") for c in names], (F.col("_rank") + F.col("_first")).alias("_rank")).toDF(*plain, "_rank")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema[:-1])
+    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long").toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int | None = 0, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

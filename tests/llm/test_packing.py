@@ -71,3 +71,11 @@ def test_hot_length_and_empty(spark):
     got = assign_sequences(frame, 2048).collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == 5000
     assert assign_sequences(frame.limit(0), 2048).count() == 0
+
+
+def test_columns_with_names_of_helpers(spark):
+    frame = spark.range(200).selectExpr("id AS doc_id", "1 + id % 90 AS length", "'f' AS first", "id AS rows", "'o' AS offset", "'s' AS sequence_id", "1 AS `a.b`", "2 AS _part")
+    got = assign_sequences(frame, 128)
+    assert set(got.columns) == {"doc_id", "length", "first", "rows", "a.b", "sequence_id", "offset"}
+    rows = got.collect()
+    assert all(r["first"] == "f" and r["rows"] == r.doc_id for r in rows) and len({(r.sequence_id, r.offset) for r in rows}) == 200
