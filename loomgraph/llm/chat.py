@@ -52,17 +52,31 @@ def format_conversations(
         return F.struct(lead.alias("lead"), t["text"].alias("text"), (t["role"] == loss_role).alias("loss"))
 
     pieces = written.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    empty = F.expr("array()").cast("array<struct<start:bigint,size:bigint>>")
+    text = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["text"])), ""), F.lit(CLOSE))
+    sizes = F.transform("pieces", lambda p: F.struct(F.octet_length(p["lead"]).cast("long").alias("lead"), F.octet_length(p["text"]).cast("long").alias("text"), p["loss"].alias("loss")))
+    return pieces.select("conv_id", text.alias("formatted"), sizes.alias("sizes")).select("conv_id", "formatted", _loss_spans().alias("loss_spans"))
 
-    def add(state: Column, p: Column) -> Column:
-        start = state["at"] + F.octet_length(p["lead"])
-        size = F.octet_length(p["text"]).cast("long")
-        spans = F.when(p["loss"], F.concat(state["spans"], F.array(F.struct(start.alias("start"), size.alias("size"))))).otherwise(state["spans"])
-        return F.struct((start + size).alias("at"), spans.alias("spans"))
 
-    spans = F.aggregate("pieces", F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), add, lambda s: s["spans"])
-    text = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["text"])), ""), F.lit(CLOSE))
-    return pieces.select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))
+#: Turns whose places are summed together: arrays are copied as they grow, so sums go in two levels.
+SUM_BLOCK = 128
+
+
+def _loss_spans() -> Column:
+    """The places of the texts under the loss, from the column ``sizes`` of structs (lead, text, loss)."""
+
+    def add(state: Column, p: Column) -> Column:
+        start = state["at"] + p["lead"]
+        span = F.array(F.struct(start.alias("start"), p["text"].alias("size")))
+        return F.struct((start + p["text"]).alias("at"), F.when(p["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+
+    def begin(at: Column) -> Column:
+        return F.struct(at.alias("at"), F.expr("array()").cast("array<struct<start:bigint,size:bigint>>").alias("spans"))
+
+    zero = F.lit(0).cast("long")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("sizes") - 1) / SUM_BLOCK).cast("int")), lambda k: F.slice("sizes", k * SUM_BLOCK + 1, F.lit(SUM_BLOCK)))
+    totals = F.transform(blocks, lambda block: F.aggregate(block, zero, lambda s, p: s + p["lead"] + p["text"]))
+    starts = F.aggregate(totals, F.struct(zero.alias("at"), F.expr("array()").cast("array<bigint>").alias("all")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+    return F.flatten(F.zip_with(blocks, starts, lambda block, at: F.aggregate(block, begin(at), add, lambda s: s["spans"])))
 
 
 def read_turns(formatted: Column) -> Column:

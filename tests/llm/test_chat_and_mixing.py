@@ -32,6 +32,15 @@ def test_formats_and_reads_back(spark):
     assert chat.format_conversations(frame.limit(0)).count() == 0
 
 
+def test_long_conversations(spark):
+    rows = [(1, i, ("user", "assistant", "assistant")[i % 3], f"é{i}") for i in range(20_000)] + [(k, i, "assistant", "x") for k in (127, 128, 129, 256, 257) for i in range(k)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    done = chat.format_conversations(frame)
+    got = {r.conv_id: r for r in done.select("conv_id", chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.size("loss_spans").alias("n")).collect()}
+    assert got[1].loss == "".join(t for _, _, role, t in rows[:20_000] if role == "assistant")
+    assert all(got[k].loss == "x" * k and got[k].n == k for k in (127, 128, 129, 256, 257))
+
+
 def test_conversation_query_has_the_control_case(spark, tmp_path):
     frame = spark.createDataFrame([t for t in TURNS if t[0]], "conv_id long, turn long, role string, text string")
     frame.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
