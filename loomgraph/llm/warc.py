@@ -3,16 +3,18 @@
 Headers are shuffled by payload digest; of each digest's records one stays a response and the others
 become revisit records that refer to it.  Archives are written by Spark's own text writer, whose line
 separator is the end of a WARC record, so tasks commit their files like any other output and lost
-executors cost a retry.  Reading follows each record's Content-Length.
+executors cost a retry.  Files are read as streams of text that is cut at the same separator and put
+together again; reading follows each record's Content-Length and holds a record, never a file.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +26,7 @@ END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-#: Records in one file at most, so that a file fits into a reading task.
+#: Records in one file at most; a gzip file is read by one task.
 FILE_RECORDS = 8000
 
 
@@ -91,7 +93,8 @@ def record_text(id_col: str = "page_id", url_col: str = "url", payload_col: str
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """Write ``pages`` below ``path`` as gzip-compressed archives, with revisits resolved.
 
-    An empty table gives a folder without records.  Other columns are ignored.
+    An empty table gives a folder without records.  Other columns are ignored.  Record ids name pages, so
+    repeated rows of one id have the same.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"))
     repeated = Scratch(pages.sparkSession, "warc").write("repeated", repeated_payloads(with_headers(rows), least_bytes))
@@ -100,42 +103,46 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
 
 
 class _Stream:
-    """Bytes of a gzip file, decompressed as they are asked for."""
+    """Bytes that come in pieces, taken as they are asked for."""
 
-    def __init__(self, data: bytes):
-        self.data, self.at, self.held, self.unzip = data, 0, bytearray(), zlib.decompressobj(31)
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.at = pieces, bytearray(), 0
 
     def more(self) -> bool:
-        if self.at >= len(self.data):
+        piece = next(self.pieces, None)
+        if piece is None:
             return False
-        self.held += self.unzip.decompress(self.data[self.at : self.at + (1 << 18)])
-        self.at += 1 << 18
-        while self.unzip.eof and self.unzip.unused_data:  # the next member
-            rest, self.unzip = self.unzip.unused_data, zlib.decompressobj(31)
-            self.held += self.unzip.decompress(rest)
+        if self.at > 1 << 16:  # what was taken is dropped now and then
+            del self.held[: self.at]
+            self.at = 0
+        self.held += piece
         return True
 
     def until(self, mark: bytes) -> bytes | None:
-        seen = 0
-        while (end := self.held.find(mark, max(0, seen - len(mark)))) < 0:
-            seen = len(self.held)
+        """Everything up to and with the mark; None if it does not come."""
+        while (end := self.held.find(mark, self.at)) < 0:
             if not self.more():
                 return None
-        return self.take(end + len(mark))
+        return self.take(end + len(mark) - self.at)
 
     def take(self, size: int) -> bytes:
-        while len(self.held) < size:
+        while len(self.held) - self.at < size:
             if not self.more():
                 raise ValueError("an archive is cut off")
-        out = bytes(self.held[:size])
-        del self.held[:size]
+        out = bytes(self.held[self.at : self.at + size])
+        self.at += size
         return out
 
-
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of each record of a gzip archive."""
-    stream = _Stream(data)
+    def rest(self) -> bytes:
+        while self.more():
+            pass
+        return bytes(self.held[self.at :])
+def records_of(pieces: Iterator[bytes], padded: bool = False) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields in lower case, block) of each record; ``padded`` allows line ends after the last one."""
+    stream = _Stream(pieces)
     while (head := stream.until(b"\r\n\r\n")) is not None:
+        if padded and not head.strip() and not stream.rest().strip():
+            return
         lines = head.decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("a record does not begin with its version")
@@ -144,6 +151,13 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if stream.take(4) != b"\r\n\r\n":
             raise ValueError("a record does not end with two line ends")
         yield fields, block
+    if stream.rest().strip():
+        raise ValueError("an archive is cut off")
+
+
+def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of a gzip archive of one or more members."""
+    return records_of(iter([gzip.decompress(data)]))
 
 
 def _page(name: str) -> int | None:
@@ -152,33 +166,40 @@ def _page(name: str) -> int | None:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the records of files, from their pieces (path, value) in order."""
     names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
     types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-    for batch in batches:
-        for data in batch.column(0):
-            rows: list[tuple] = []
-            size = 0
-            for fields, block in records(data.as_py()):
-                body = block.split(b"\r\n\r\n", 1)[1]
-                kind, wanted = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-                if kind == "response":
-                    digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
-                    if digest != wanted:
-                        raise ValueError(f"a payload's digest is {digest} and not {wanted}")
-                length = len(body) if kind == "response" else int(fields["x-payload-length"])
-                rows.append((_page(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, _page(fields.get("warc-refers-to", "")), wanted, length, body if kind == "response" else None))
-                size += len(body)
-                if size > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    pieces = (piece for batch in batches for piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    rows: list[tuple] = []
+    size = 0
+
+    def taken() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    for _, of_file in groupby(pieces, key=lambda piece: piece[0]):
+        for fields, block in records_of((value + END.encode() for _, value in of_file), padded=True):
+            body = block.split(b"\r\n\r\n", 1)[1]
+            kind, wanted = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
+            if kind == "response":
+                digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+                if digest != wanted:
+                    raise ValueError(f"a payload's digest is {digest} and not {wanted}")
+            length = len(body) if kind == "response" else int(fields["x-payload-length"])
+            rows.append((_page(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, _page(fields.get("warc-refers-to", "")), wanted, length, body if kind == "response" else None))
+            size += len(body) + 256
+            if size > 1 << 23:
+                yield taken()
+                rows, size = [], 0
+    if rows:
+        yield taken()
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload) of all records.
 
     Responses' digests are checked; a revisit has no payload.  A folder without records gives no rows.
+    A record must fit into memory, its file need not.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(_read, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
+    files = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(path)
+    pieces = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value"))
+    return pieces.mapInArrow(_read, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
