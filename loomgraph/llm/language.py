@@ -63,11 +63,15 @@ class Encoder:
     tables: list[np.ndarray] = field(default_factory=lambda: [np.zeros((0, DIMENSIONS), np.int8) for _ in range(ORDER)])
 
     def _add(self, points: np.ndarray) -> None:
+        """Vectors of new letters; tables double when they are full, so each letter costs the same."""
+        need, room = len(self.rows) + len(points), len(self.tables[0])
+        if need > room:
+            self.tables = [np.concatenate([t, np.zeros((max(need, 2 * room, 256) - room, DIMENSIONS), np.int8)]) for t in self.tables]
         for point in points.tolist():
             vector = np.random.default_rng([self.seed, point]).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1
-            self.index[point] = len(self.rows)
-            self.rows[point] = len(self.rows)
-            self.tables = [np.vstack([t, np.roll(vector, ORDER - 1 - k)]).astype(np.int8) for k, t in enumerate(self.tables)]
+            at = self.index[point] = self.rows[point] = len(self.rows)
+            for k, table in enumerate(self.tables):
+                table[at] = np.roll(vector, ORDER - 1 - k)
 
     def vector(self, text: str) -> np.ndarray | None:
         """The bundle of a text's n-grams over letters and single gaps; None without a letter."""
@@ -115,25 +119,26 @@ class Profiles:
     seed: int
 
 
-def fit_profiles(labelled: DataFrame, per_language: int = 2000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
+def fit_profiles(labelled: DataFrame, per_language: int = 2000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_languages: int = 1024) -> Profiles:
     """Prototypes from about ``per_language`` documents of each language, chosen by a hash of the id.
 
-    The bound is what keeps fitting cheap at any size.  Rows with a null language or text do not
-    count.  Only one vector for each language goes to the driver.
+    The bounds are what keeps fitting cheap at any size: of more than ``most_languages`` labels the most
+    frequent are learned, equal counts by name.  Rows with a null language or text do not count.  Only one
+    vector for each language goes to the driver.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    if not sizes:
-        return Profiles((), np.zeros((0, DIMENSIONS)), seed)
     million = 1_000_000
-    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(million, -(-per_language * million // n)))) for k, n in sizes.items()])
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(million)) < rate).select("lang", "text")
+    rates = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    rates = rates.select("lang", F.expr(f"LEAST({million}, ({per_language * million} + n - 1) div n)").alias("rate"))
+    sample = rows.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(million)) < F.col("rate")).select("lang", "text")
     sums = sample.mapInArrow(_bundles(seed), "lang string, total array<long>").select("lang", F.posexplode("total").alias("i", "v"))
-    found = sums.groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
-    languages = tuple(sorted({r["lang"] for r in found}))
+    found = sums.groupBy("lang", "i").agg(F.sum("v").alias("v")).toArrow()
+    languages = tuple(sorted(set(found.column("lang").to_pylist())))
+    if not languages:
+        return Profiles((), np.zeros((0, DIMENSIONS)), seed)
+    places = {lang: k for k, lang in enumerate(languages)}
     prototypes = np.zeros((len(languages), DIMENSIONS))
-    for r in found:
-        prototypes[languages.index(r["lang"]), r["i"]] = r["v"]
+    prototypes[[places[lang] for lang in found.column("lang").to_pylist()], found.column("i").to_numpy()] = found.column("v").to_numpy()
     return Profiles(languages, prototypes / np.sqrt((prototypes**2).sum(axis=1, keepdims=True)), seed)
 
 
@@ -183,7 +188,7 @@ def keep_identified(documents: DataFrame, profiles: Profiles, least_score: float
     Clearly foreign: the best cosine is below the least, and the text has ``FEW_GRAMS`` different
     n-grams or more, so that this is not for its length.  Columns stay as they are.  If nothing was learned, no row can be identified and none stays.
     """
-    names, at = documents.columns, documents.columns.index(text_col)
+    names, at = [f"c{i}" for i in range(len(documents.columns))], documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _predictions(profiles)
@@ -193,4 +198,5 @@ def keep_identified(documents: DataFrame, profiles: Profiles, least_score: float
             keep = [lang != UNKNOWN and (score >= least_score or distinct_grams(text.as_py()) < FEW_GRAMS) for lang, score, text in judgements]
             yield pa.RecordBatch.from_arrays(batch.columns, names).filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    plain = documents.toDF(*names)  # whatever characters the columns' names have
+    return plain.mapInArrow(run, plain.schema).toDF(*documents.columns)

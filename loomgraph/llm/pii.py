@@ -473,7 +473,7 @@ def redact_personal_data(documents: DataFrame, tagger: Tagger | None = None, tex
     A null text stays null; other columns are as they were.
     """
     model = tagger or default_tagger()
-    names, at = documents.columns, documents.columns.index(text_col)
+    names, at = [f"c{i}" for i in range(len(documents.columns))], documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -484,4 +484,5 @@ def redact_personal_data(documents: DataFrame, tagger: Tagger | None = None, tex
                 new = pa.array([t if t is None else redacted(t, s) if s else t for t, s in zip(texts, found, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([new if i == at else part.column(i) for i in range(len(names))], names)
 
-    return documents.mapInArrow(run, documents.schema)
+    plain = documents.toDF(*names)  # whatever characters the columns' names have
+    return plain.mapInArrow(run, plain.schema).toDF(*documents.columns)
