@@ -86,7 +86,7 @@ def test_anisotropic_loss_keeps_large_products_better():
     assert error["aware"] < error["plain"]
 
 
-PAGES = [(1, "http://a/x y", "same"), (5, None, "same"), (3, "http://b", "same"), (2, "http://c", "héé\r\n\r\nWARC/1.1\r\n"), (4, "u\r\nX: 1", None), (9, "", ""), (None, "http://n", "same"), (7, "http://l", "ab" * 400_000), (8, "d", "dup"), (8, "d", "dup")]
+PAGES = [(1, "http://a/x y", "same"), (5, None, "same"), (3, "http://b", "same"), (2, "http://c", "héé\r\n\r\nWARC/1.1\r\n"), (4, "u\r\nX: 1", None), (9, "", ""), (None, "http://n", "same"), (7, "http://l", "ab" * 400_000), (8, "d", "dup"), (8, "d", "dup"), (10, "e", "ends\r\n"), (11, "e", "\r\n\r\n\r"), (12, "e", "\r\n\r\n" * 3 + "WARC/1.1\r\nContent-Length: 3\r\n\r\n"), (13, "e", "\r"), (14, "e", "\n\r\n\r\n\r\n")]
 
 
 def test_archives_read_back(spark, tmp_path):
@@ -112,13 +112,22 @@ def test_archives_read_back(spark, tmp_path):
     assert {r.record_type for r in warc.read_archives(spark, str(tmp_path / "m")).collect()} == {"response"}
 
 
+def test_files_end_with_any_payload(spark, tmp_path):
+    """Every payload is the last of a file, and most files follow another in one task."""
+    payloads = ["a", "a\r\n", "\r\n", "\r", "\r\n\r\n", "\r\n\r", "\n", "", "é\r\n\r\n\r\n"]
+    frame = spark.createDataFrame([(i, "u", p * k) for i, (p, k) in enumerate((p, k) for p in payloads for k in (1, 2))], "page_id long, url string, html string").repartition(18, "page_id")
+    warc.write_archives(frame, str(tmp_path / "w"), least_bytes=1 << 30)
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(spark, str(tmp_path / "w")).coalesce(2).collect()}
+    assert got == {r.page_id: r.html for r in frame.collect()}
+
+
 def test_broken_archives_are_refused():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
     import gzip
 
     members = gzip.compress(record) + gzip.compress(record)
     assert [b for _, b in warc.records(members)] == [b"abcd", b"abcd"]
-    for bad in (record[:-6], b"HTTP/1.1\r\n\r\n", record.replace(b"4\r\n\r\n", b"3\r\n\r\n")):
+    for bad in (record[:-6], b"HTTP/1.1\r\n\r\n", record.replace(b"4\r\n\r\n", b"3\r\n\r\n"), record + record[:20]):
         with pytest.raises(ValueError):
             list(warc.records(gzip.compress(bad)))
 
@@ -173,6 +182,35 @@ def test_media_round_trip(spark):
     assert media.media_features(media.store_payloads(frame.limit(0))).count() == 0
 
 
+def test_features_equal_brute_force(spark):
+    texts = ["", "x" * 10, "".join(chr(32 + i * 7 % 90) for i in range(576)), "grey " * 700]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in media.media_features(media.store_payloads(frame)).collect():
+        data = texts[r.doc_id].encode()
+        data += b"\xff" * (max(576, -(-len(data) // 576) * 576) - len(data))
+        image = np.frombuffer(data, np.uint8).reshape(-1, 24).astype(float)
+        fine = image.repeat(8, 0).repeat(9, 1)  # every box is a whole number of samples here
+        small = np.round(fine.reshape(8, image.shape[0], 9, 24).mean(axis=(1, 3)), 6)
+        bits = "".join("1" if a < b else "0" for row in small for a, b in zip(row, row[1:], strict=False))
+        assert r.feature == f"{int(bits, 2):016x}"
+
+
+def test_equal_cosines_go_to_the_first_language(spark):
+    frame = spark.createDataFrame([(i, "same words here", lang) for i in range(60) for lang in ("bb", "aa")], "doc_id long, text string, lang string")
+    profiles = language.fit_profiles(frame)
+    assert profiles.languages == ("aa", "bb") and {r.lang_pred for r in language.predict_language(frame, profiles).collect()} == {"aa"}
+    assert language.fit_profiles(frame.union(frame.where("lang = 'bb'")), most_languages=1).languages == ("bb",)
+
+
+def test_new_letters_cost_the_same():
+    e = language.Encoder()
+    for low in range(0x4E00, 0x4E00 + 6000, 500):
+        e.vector("".join(chr(c) for c in range(low, low + 500)))
+    assert len(e.rows) == 6001 and len(e.tables[0]) <= 2 * 6001
+    again = language.Encoder()
+    assert (again.vector("丂七") == e.vector("丂七")).all()
+
+
 def test_decoders_and_resizing():
     g = np.random.default_rng(2)
     grey, colour = g.integers(0, 256, (7, 13), np.uint8), g.integers(0, 256, (5, 6, 3), np.uint8)
