@@ -126,6 +126,10 @@ ENTITY_PATTERNS = [
 ]
 
 
+#: Words, spaces and their boundaries are those of Unicode, in every version of Java.
+UNICODE = "(?U)"
+
+
 def canonical(entity_type: str, name: Column) -> Column:
     if entity_type == "Function":
         return F.regexp_replace(name, r"(\(\))+$", "")
@@ -143,7 +147,7 @@ def entities(rows: DataFrame, text: Column, key: str, types: list[str] | None =
     found = []
     for entity_type, pattern, group in ENTITY_PATTERNS:
         if types is None or entity_type in types:
-            found.append(_named(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), entity_type))
+            found.append(_named(F.regexp_extract_all(text, F.lit(UNICODE + pattern), F.lit(group)), entity_type))
     every = rows.select(key, F.explode(F.array_distinct(F.concat(*found))).alias("e")).select(key, "e.entity_type", "e.name").where("name <> ''")
     several = every.groupBy(key, "entity_type").agg(F.count("*").alias("n"))
     return every.join(several, [key, "entity_type"]).select(key, "entity_type", "name", F.when(F.col("n") > 1, 0.6).otherwise(0.95).alias("confidence"))

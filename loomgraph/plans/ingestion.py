@@ -132,7 +132,11 @@ def scl_13(spark, d):
     return ingest.entities(table(spark, d, "pages"), F.col("url"), "page_id", ["Url"])
 
 
-@query(r"""SELECT doc_id, name, CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN 0.6 ELSE 0.95 END::DOUBLE AS confidence FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b[A-Z_][A-Z0-9_]{3,}\b')) AS name FROM documents)""", plain=True)
+# a variable stands between word boundaries and has word characters only: it is a whole run of them
+WORD_RUNS = r"regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+')"
+
+
+@query(rf"""SELECT doc_id, name, CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN 0.6 ELSE 0.95 END::DOUBLE AS confidence FROM (SELECT DISTINCT doc_id, name FROM (SELECT doc_id, unnest({WORD_RUNS}) AS name FROM documents) WHERE regexp_full_match(name, '[A-Z_][A-Z0-9_]{{3,}}'))""", plain=True)
 def scl_14(spark, d):
     return ingest.entities(table(spark, d, "documents"), F.col("text"), "doc_id", ["Variable"]).select("doc_id", "name", "confidence")
 
