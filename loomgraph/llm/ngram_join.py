@@ -1,22 +1,20 @@
 """N-gram Jaccard join by vertical partitioning.
 
-All n-grams have one global order: those with numbers below a bound come first (the first fragment), and
-in it, rarer ones before more frequent ones.  The other numbers are cut into fragments of equal width.
-Each document's set is cut with the order, overlaps of two documents are counted in each fragment on its
-own, and the counts are summed for each pair.
+All n-grams have one global order: rarer ones before more frequent ones, then by number.  The order is cut
+into fragments at some frequencies, each document's set is cut with it, overlaps of two documents are
+counted in each fragment on its own, and the counts are summed for each pair.
 
 What keeps the join exact and far from all pairs:
 
 * Equal sets become one class, and only classes are compared.  A class is a row of its own even where
   rows repeat an id; such ids tie their classes together when components are formed.
-* The first fragment holds a little more of a set than two linked documents may differ in, so linked
-  documents share an n-gram in it.  Sets that chance gave too little of it are used whole.
+* A document can only link if the n-grams it shares with others reach the threshold.  That is first
+  tested on the n-grams with the smallest numbers, a little more of a set than two linked documents may
+  differ in, which drops most documents; documents left are tested on their whole sets.
 * Candidates share an n-gram at places in the order, and with sizes, that still allow a link.
 * In a list of candidates for one n-gram, all are first compared with the list's hub, the document whose
   n-gram comes first.  Whoever links to it is in the hub's component; only documents of other components
   are then compared with the rest of the list, so a group of copies costs its size and not its square.
-* A pair's overlap in the first fragment bounds the whole; only pairs that can still link have their
-  other fragments counted.
 * Lists of frequent n-grams are cut by salts: hubs are found among the salts' hubs, and rows that meet
   many others are repeated for the salts those are in.
 """
@@ -31,18 +29,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import connected_components
-from loomgraph.llm.prefilter import likely, with_ids
+from loomgraph.llm.prefilter import with_ids
 from loomgraph.llm.scratch import Scratch
 from loomgraph.llm.shingles import digest, shingle_sets
 
-#: Fragments of the numbers beyond the first fragment.
-REST_FRAGMENTS = 3
+#: The global order is cut after n-grams that are in so many sets.
+FRAGMENT_ENDS = (2, 3, 7, 31)
 #: Parts of a list when its hub is sought, and rows that one repeated row meets.
 SALTS, SPREAD = 32, 256
 
 
 def first_bound(percent: int) -> int:
-    """Numbers below this are the first fragment: 5/4 of the share in which linked sets may differ."""
+    """Numbers below this are tested first: 5/4 of the share in which linked sets may differ, and 1/64 more."""
     return min((1 << 64) - 1, (1 << 64) * 5 * (100 - percent) // 400 + (1 << 58))
 
 
@@ -53,7 +51,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sets(words: int, percent: int) -> Callable:
-    """id, n, digest, n_low and grams: the first fragment, or all if a link needs none of it."""
+    """id, n, digest, n_low and grams: the n_low numbers below the bound, or all if a link needs none of those."""
     bound = np.uint64(first_bound(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,24 +66,17 @@ def _sets(words: int, percent: int) -> Callable:
     return run
 
 
-def _segments(words: int, percent: int) -> Callable:
-    """(key, fragment, grams) beyond the first fragment of the classes that a row is wanted for."""
-    bound = first_bound(percent)
-    width = ((1 << 64) - bound) // REST_FRAGMENTS + 1
-    cuts = np.array([bound + k * width for k in range(REST_FRAGMENTS)], np.uint64)
+def _whole(words: int) -> Callable:
+    """(key, n, grams): whole sets of the classes that a row is wanted for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, fragments, grams = [], [], []
+            found = []
             for i, s in enumerate(shingle_sets(batch.column(0), words)):
                 own = digest(s, batch.column(0)[i].as_py() if len(s) == 1 else "", words) if len(s) else None
-                for wanted in batch.column(1)[i].as_py():
-                    if wanted["digest"] == own:
-                        for k, part in enumerate(np.split(s, np.searchsorted(s, cuts))[1:]):
-                            keys.append(wanted["key"])
-                            fragments.append(k + 1)
-                            grams.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fragments, pa.int32()), _lists(grams)], ["key", "fragment", "grams"])
+                found += [(w["key"], s) for w in batch.column(1)[i].as_py() if w["digest"] == own]
+            sizes = pa.array([len(s) for _, s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), sizes, _lists([s for _, s in found])], ["key", "n", "grams"])
 
     return run
 
@@ -95,19 +86,29 @@ def _needed(percent: int, n: str = "n") -> str:
     return f"(({n} * {percent} + 99) div 100)"
 
 
-def _ordered(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, n, n_low, k, k_low, grams): n-grams that others have too, as structs (rest, df, g) in the global order.
+def _shared(sets: DataFrame) -> DataFrame:
+    """(key, df, g): the n-grams that are in two or more of the sets (key, grams)."""
+    rows = sets.select("key", F.explode("grams").alias("g"))
+    return rows.join(rows.groupBy("g").agg(F.count("*").alias("df")).where("df >= 2"), "g")
+
+
+def _hopeful(sets: DataFrame, percent: int) -> DataFrame:
+    """(key) of the sets (key, n, n_low, grams) that may have a partner.
 
-    Only documents that the number of shared n-grams in the first fragment leaves a link are kept: a
-    partner misses at most n - needed of a document's n-grams.
+    A partner misses at most n - needed of a set's n-grams, and thus of those below the bound.  Sets with
+    fewer of them are whole here: a partner that shares none of those has as few, and is whole too.
     """
-    rows = sets.select("key", F.explode("grams").alias("g"))
-    often = rows.groupBy("g").agg(F.count("*").alias("df")).where("df >= 2")
-    low = f"g >= 0 AND g < {first_bound(percent)}" if first_bound(percent) < 1 << 63 else f"g >= 0 OR g < {first_bound(percent) - (1 << 64)}"
-    shared = rows.join(often, "g").groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.expr(f"IF({low}, 0, 1)").alias("rest"), "df", "g"))).alias("grams"))
-    found = shared.join(sets.select("key", "n", "n_low", F.size("grams").cast("long").alias("part_n")), "key")
-    found = found.withColumn("k", F.size("grams").cast("long")).withColumn("k_low", F.expr("CAST(size(filter(grams, x -> x.rest = 0)) AS LONG)"))
-    return found.where(f"n_low - k_low <= n - {_needed(percent)}")
+    bound = first_bound(percent)
+    low = f"g >= 0 AND g < {bound}" if bound < 1 << 63 else f"g >= 0 OR g < {bound - (1 << 64)}"
+    counts = _shared(sets).groupBy("key").agg(F.count_if(F.expr(low)).alias("k_low"))
+    return counts.join(sets.select("key", "n", "n_low"), "key").where(f"n_low - k_low <= n - {_needed(percent)}").select("key")
+
+
+def _ordered(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, n, k, grams): the k n-grams that other sets (key, n, grams) have too, as structs (df, g) in the global order."""
+    shared = _shared(sets).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("grams"))
+    shared = shared.join(sets.select("key", "n"), "key").withColumn("k", F.size("grams").cast("long"))
+    return shared.where(f"k >= {_needed(percent)}").select("key", "n", "k", "grams")
 
 
 def _candidates(ordered: DataFrame, percent: int) -> DataFrame:
@@ -115,9 +116,8 @@ def _candidates(ordered: DataFrame, percent: int) -> DataFrame:
 
     ``most`` is the largest size of a partner that an entry can reach from its place in the order.
     """
-    entries = ordered.select("key", "n", "n_low", "k_low", "k", "part_n", F.posexplode("grams").alias("at", "x"))
-    place = F.expr("IF(x.rest = 0, n_low - k_low, part_n - k) + at")
-    entries = entries.select(F.col("x.g").alias("g"), "key", "n", place.alias("place")).where(f"place <= n - {_needed(percent)}")
+    entries = ordered.select("key", "n", F.expr("n - k").alias("unshared"), F.posexplode(F.expr(f"slice(grams, 1, CAST(k - {_needed(percent)} + 1 AS INT))")).alias("at", "x"))
+    entries = entries.select(F.col("x.g").alias("g"), "key", "n", (F.col("unshared") + F.col("at")).alias("place"))
     entries = entries.withColumn("most", F.expr(f"((100 + {percent}) * (n - place)) div {percent} - n")).where(f"most >= {_needed(percent)}")
     entries = entries.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
     parts = entries.groupBy("g", "salt").agg(
@@ -130,34 +130,28 @@ def _candidates(ordered: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(a, b, overlap) of the pairs (a, b, spread) that share an n-gram of a fragment, summed over fragments.
+def _fragments(ordered: DataFrame) -> DataFrame:
+    """(key, n, fragment, grams): each set cut with the global order."""
+    low, parts = 1, []
+    for i, high in enumerate((*FRAGMENT_ENDS, (1 << 63) - 1)):
+        parts.append(f"struct({i} AS fragment, transform(filter(grams, x -> x.df > {low} AND x.df <= {high}), x -> x.g) AS grams)")
+        low = high
+    return ordered.select("key", "n", F.expr(f"inline(filter(array({', '.join(parts)}), p -> size(p.grams) > 0))"))
 
-    A row may meet many others as ``a``: its segments are repeated for as many salts as its pairs name.
-    """
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("spread")).alias("salt"))
-    repeats = pairs.groupBy("a").agg(F.max("spread").alias("spread"))
-    left = likely(segments.select(F.col("key").alias("a"), "fragment", F.col("grams").alias("a_grams")), pairs, "a").join(repeats, "a")
-    left = left.select("a", "fragment", "a_grams", F.explode(F.sequence(F.lit(0).cast("long"), F.col("spread") - 1)).alias("salt"))
-    right = likely(segments.select(F.col("key").alias("b"), "fragment", F.col("grams").alias("b_grams")), pairs, "b")
-    partial = salted.join(left, ["a", "salt"]).join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("a_grams", "b_grams")).alias("overlap"))
-    return partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
 
+def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, spread) whose overlaps, summed over fragments, reach the threshold.
 
-def _links(pairs: DataFrame, first: DataFrame, rest: DataFrame, percent: int, scratch: Scratch, label: str) -> DataFrame:
-    """Of the pairs (a, b, spread), those whose summed overlaps reach the threshold.
-
-    ``first`` has (key, n, n_low, fragment, grams) of the first fragment, ``rest`` (key, fragment, grams).
+    A row may meet many others as ``a``: its segments are repeated for as many salts as its pairs name.
     """
-    sizes = first.select("key", "n", (F.col("n") - F.col("n_low")).alias("beyond"))
-    named = pairs.join(sizes.toDF("a", "a_n", "a_beyond"), "a").join(sizes.toDF("b", "b_n", "b_beyond"), "b")
-    part = _overlaps(pairs, first.select("key", "fragment", "grams")).withColumnRenamed("overlap", "low")
-    enough = "100 * ({0}) >= " + str(percent) + " * (a_n + b_n - ({0}))"
-    open_ = named.join(part, ["a", "b"], "left").withColumn("low", F.coalesce("low", F.lit(0))).where(enough.format("low + least(a_beyond, b_beyond)"))
-    open_ = scratch.write(f"{label}-open", open_)
-    more = _overlaps(open_.select("a", "b", "spread"), rest)
-    total = open_.join(more, ["a", "b"], "left").withColumn("all", F.col("low") + F.coalesce("overlap", F.lit(0)))
-    return scratch.write(label, total.where(enough.format("all")).select("a", "b"))
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("spread")).alias("salt"))
+    left = segments.select(F.col("key").alias("a"), F.col("n").alias("a_n"), "fragment", F.col("grams").alias("a_grams"))
+    left = left.join(pairs.groupBy("a").agg(F.max("spread").alias("spread")), "a")
+    left = left.select("a", "a_n", "fragment", "a_grams", F.explode(F.sequence(F.lit(0).cast("long"), F.col("spread") - 1)).alias("salt"))
+    right = segments.select(F.col("key").alias("b"), F.col("n").alias("b_n"), "fragment", F.col("grams").alias("b_grams"))
+    partial = salted.join(left, ["a", "salt"]).join(right, ["b", "fragment"]).select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_grams", "b_grams")).alias("overlap"))
+    total = partial.groupBy("a", "b", "a_n", "b_n").agg(F.sum("overlap").alias("overlap"))
+    return total.where(f"100 * overlap >= {percent} * (a_n + b_n - overlap)").select("a", "b")
 
 
 def ngram_jaccard_components(
@@ -189,23 +183,23 @@ def ngram_jaccard_components(
     copies = known.select("key", "digest").join(classes.where("members > 1").select("digest", F.col("key").alias("first")), "digest").where("key <> first")
     single = known.join(copies.select("key"), "key", "left_anti")
 
-    ordered = scratch.write("ordered", _ordered(single.select("key", "n", "n_low", "grams"), percent))
+    # the texts of documents that may have a partner; one row of each class has its key
+    hopeful = scratch.write("hopeful", _hopeful(single.select("key", "n", "n_low", "grams"), percent))
+    ids = known.join(hopeful, "key", "left_semi").groupBy("id").agg(F.collect_set(F.struct("digest", "key")).alias("wanted"))
+    texts_of = with_ids(texts, scratch.write("ids", ids), "id").select("text", "wanted")
+    whole = scratch.write("whole", texts_of.mapInArrow(_whole(words), "key long, n long, grams array<long>"))
+    if whole.count() != hopeful.count():  # rows that repeat both id and text
+        whole = scratch.write("whole-once", whole.dropDuplicates(["key"]))
+
+    ordered = scratch.write("ordered", _ordered(whole, percent))
+    scratch.drop("whole", "whole-once")
     lists = scratch.write("lists", _candidates(ordered, percent))
-    chosen = lists.select("key").distinct()
-    in_lists = ordered.join(chosen, "key", "left_semi")
-    first = scratch.write("first", in_lists.select("key", "n", "n_low", F.lit(0).alias("fragment"), F.expr("transform(filter(grams, x -> x.rest = 0), x -> x.g)").alias("grams")))
+    segments = scratch.write("segments", _fragments(ordered.join(lists.select("key").distinct(), "key", "left_semi")))
     scratch.drop("ordered")
 
-    # the other fragments, from the texts of the chosen; one row of each class has its key
-    ids = known.join(chosen, "key", "left_semi").groupBy("id").agg(F.collect_set(F.struct("digest", "key")).alias("wanted"))
-    texts_of = with_ids(texts, scratch.write("ids", ids), "id").select("text", "wanted")
-    rest = scratch.write("rest", texts_of.mapInArrow(_segments(words, percent), "key long, fragment int, grams array<long>"))
-    if rest.count() != REST_FRAGMENTS * first.count():  # rows that repeat both id and text
-        rest = scratch.write("rest-once", rest.dropDuplicates(["key", "fragment"]))
-
     spread = F.expr(f"(members + {SPREAD - 1}) div {SPREAD}")
     star = lists.where("key <> hub AND n <= hub_most AND hub_n <= most").groupBy(F.col("hub").alias("a"), F.col("key").alias("b")).agg(F.max(spread).alias("spread"))
-    links = _links(scratch.write("star", star), first, rest, percent, scratch, "links-star")
+    links = scratch.write("links-star", _links(scratch.write("star", star), segments, percent))
     parts = scratch.write("parts", connected_components(links, "a", "b", scratch, "cc-star"))
 
     # what other components the lists still hold, against the rest of their lists
@@ -218,7 +212,7 @@ def ngram_jaccard_components(
     outer = outer.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("spread") - 1))).alias("x")
     differ = "x.g = y.g AND x.salt = y.salt AND x.part <> y.part AND (y.part = y.main OR x.key < y.key) AND x.n <= y.most AND y.n <= x.most"
     cross = outer.join(remaining, F.expr(differ)).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.max("x.spread").alias("spread"))
-    more = _links(scratch.write("cross", cross), first, rest, percent, scratch, "links-rest")
+    more = scratch.write("links-rest", _links(scratch.write("cross", cross), segments, percent))
 
     # the classes that an id ties together, and components that are tied or linked by the rest of lists
     of_ids = known.select("id", "digest").join(classes.select("digest", "key"), "digest").groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b"))

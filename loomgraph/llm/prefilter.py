@@ -15,27 +15,23 @@ from pyspark.sql import functions as F
 BUCKETS = 1024
 
 
-def _hashed(column: str) -> Column:
+def _hashed(column: Column) -> Column:
     return F.pmod(F.xxhash64(column, F.lit(29)), F.lit(BUCKETS * 32768))
 
 
 def _marked(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """(row, near): each row as a struct, and whether the bit of its id is set."""
-    bits = ids.select(_hashed(id_col).alias("h")).groupBy(F.expr(f"h % {BUCKETS}").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(h div {BUCKETS})").alias("bits"))
-    placed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), _hashed(id_col).alias("h"))
+    kind = ids.schema[id_col].dataType  # equal ids of different types have different hashes
+    bits = ids.select(_hashed(F.col(id_col)).alias("h")).groupBy(F.expr(f"h % {BUCKETS}").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(h div {BUCKETS})").alias("bits"))
+    placed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), _hashed(F.col(id_col).cast(kind)).alias("h"))
     placed = placed.select("row", F.expr(f"h % {BUCKETS}").alias("bucket"), F.expr(f"CAST(h div {BUCKETS} AS INT)").alias("place"))
     near = F.expr("shiftright(CAST(conv(hex(substring(bits, place div 8 + 1, 1)), 16, 10) AS INT), place % 8) & 1 = 1")
     return placed.join(F.broadcast(bits), "bucket", "left").select("row", F.coalesce(near, F.lit(False)).alias("near"))
 
 
-def likely(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """All rows whose id is in ``ids``, and few others; nothing is shuffled but ids."""
-    return _marked(rows, ids, id_col).where("near").select("row.*")
-
-
 def with_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows joined with ``ids``, which has one row for each id and may have further columns; others go."""
-    return likely(rows, ids, id_col).join(ids.hint("merge"), id_col)
+    return _marked(rows, ids, id_col).where("near").select("row.*").join(ids.hint("merge"), id_col)
 
 
 def without_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
