@@ -14,6 +14,7 @@ from loomgraph.llm.mixing import mix_documents
 from loomgraph.llm.ngram_join import ngram_jaccard_components
 from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.pii import redact_personal_data
+from loomgraph.llm.prefilter import without_ids
 from loomgraph.llm.queries import TREE_WEIGHTS, source_tree, tokenizer_path
 from loomgraph.llm.scratch import Scratch
 
@@ -32,11 +33,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps of each group of linked documents the one with the smallest id.
 
     Five-word shingles and a similarity of 0.8 or more.  Rows that repeat a kept id stay.  The list of
-    dropped ids has no bound, so it is never broadcast, at no size.
+    dropped ids has no bound, so it is never broadcast: a bitmap of fixed size tells which documents
+    cannot be in it, and only the others are shuffled.
     """
     linked = ngram_jaccard_components(docs, words=5, percent=80)
     gone = Scratch(spark, "pipeline").write("gone", linked.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, gone, "doc_id")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
