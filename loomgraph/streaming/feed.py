@@ -86,23 +86,36 @@ def gate(events: DataFrame, key: str = "org", lsn: str = "lsn", first: int = 0,
     return events.select(F.col(key).cast("string").alias("org"), F.col(lsn).cast("long").alias(lsn)).groupBy("org").applyInPandasWithState(step, "org string, lsn long, status string", GATE_STATE, "append", GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def apply_stream(events: DataFrame, store: Store, table: str, checkpoint: str, key: str = "key"):
-    """A running query that applies each micro-batch to the store's table, each batch once."""
+def apply_stream(events: DataFrame, store: Store, table: str, checkpoint: str):
+    """A running query that adds each micro-batch of events to the store's table, each batch once.
+
+    What a batch costs does not depend on the rows before it: the events are kept, and
+    ``stored_snapshot`` applies them when the table is read.
+    """
 
     def batch(frame: DataFrame, number: int) -> None:
         name = f"{table}-batches"
         done = store.read(name)
         if done is not None and not done.where(F.col("batch") == number).isEmpty():
             return
-        columns = [c for c in frame.columns if c != "op"]
-        now = store.read(table)
-        now = frame.limit(0).select(*columns) if now is None else now
-        entry = frame.sparkSession.createDataFrame([(number,)], "batch long")
-        store.commit({table: applied(now, frame, key), name: entry if done is None else done.unionByName(entry)})
+        entry = frame.sparkSession.createDataFrame([(number,)], "batch long").coalesce(1)
+        store.commit({}, added={table: frame, name: entry})
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stored_snapshot(store: Store, table: str, key: str = "key", version: int | None = None) -> DataFrame | None:
+    """The rows that the events of ``apply_stream`` leave, or None before the first batch."""
+    events = store.read(table, version)
+    return None if events is None else applied(events.limit(0).drop("op"), events, key)
+
+
+def compact(store: Store, table: str, key: str = "key") -> int:
+    """Replace the table's events by one for each row that is left; deletions are no longer needed then."""
+    rows = stored_snapshot(store, table, key)
+    return store.version() if rows is None else store.commit({table: rows.withColumn("op", F.lit("MemoryUpserted"))}, expected=store.version())
+
+
 def counted(effects: DataFrame) -> DataFrame:
     """Writes of each region from effects (effect_id, org, project, memory_type, memories, edges), each once."""
     once = effects.dropDuplicates(["effect_id"])

@@ -1,6 +1,7 @@
 """Sources, the versioned store and feeds on small fixtures."""
 
 import json
+import os
 import struct
 import zlib
 from datetime import datetime
@@ -164,6 +165,41 @@ def test_store_versions(spark, tmp_path):
     assert store.read("t", 1).count() == 300
     with pytest.raises(RuntimeError):
         store.commit({"t": frame}, expected=1)
+    # a commit writes its own rows only: versions share folders
+    one, two = (store.manifest(v)["tables"]["t"] for v in (1, 2))
+    assert two[:1] == one and len(two) == 2
+    store.commit({"u": frame}, added={"t": frame.selectExpr("id", "'x' AS more")})
+    assert store.manifest()["tables"]["t"][:2] == two and store.read("t").where("more = 'x'").count() == 300 and store.read("u").count() == 300
+    # a writer that loses the race leaves nothing behind
+    before = sorted(str(p) for p in (tmp_path / "data").rglob("*.parquet"))
+    (tmp_path / "_claims" / "4").touch()
+    with pytest.raises(RuntimeError):
+        store.commit({"u": frame.limit(1)})
+    assert store.version() == 3 and sorted(str(p) for p in (tmp_path / "data").rglob("*.parquet")) == before
+    os.utime(tmp_path / "_claims" / "4", (0, 0))  # its writer never came back
+    assert store.commit({"u": frame.limit(1)}) == 4 and store.read("u").count() == 1
+    store.forget(3)
+    assert store.versions() == [1, 2, 4] and store.read("t", 4).count() == 900 and store.read("t", 1).count() == 300
+    assert not (tmp_path / store_folder(before, "u")).exists()
+
+
+def store_folder(files, table):
+    return os.path.dirname(next(f for f in files if f"/{table}/" in f))
+
+
+def test_events_are_stored_by_batch_and_compacted(spark, tmp_path):
+    schema = "key long, lsn long, state string, op string"
+    for i in range(3):
+        rows = [(k, 10 * i + k, f"s{i}", "MemoryDeleted" if k == i else "MemoryUpserted") for k in range(i, 4)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    store = commit.Store(spark, str(tmp_path / "store"))
+    for _ in range(2):  # the second run finds nothing new
+        feed.apply_stream(feed.stream_of(spark, str(tmp_path / "in"), schema, 1), store, "users", str(tmp_path / "checkpoint")).awaitTermination()
+    assert store.version() == 3 and len(store.manifest()["tables"]["users"]) == 3
+    want = {(3, 23, "s2")}
+    assert {tuple(r) for r in feed.stored_snapshot(store, "users").collect()} == want
+    assert feed.compact(store, "users") == 4 and len(store.manifest()["tables"]["users"]) == 1
+    assert {tuple(r) for r in feed.stored_snapshot(store, "users").collect()} == want and feed.stored_snapshot(store, "none") is None
 
 
 def test_export_and_restore(spark, tmp_path):
