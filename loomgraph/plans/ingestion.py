@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars
@@ -13,6 +13,7 @@ from loomgraph.plans.fixture import CALLER, NODE_TYPES, as_of, edges, memories,
 from loomgraph.plans.reads import KINDS_SQL, TRIPLES_SQL, TYPED_SQL, VERDICT_SQL, typed, values
 from loomgraph.plans.registry import query
 from loomgraph.schema import REJECT_CODES, kinds_table, reject_table, triples_table
+from loomgraph.session import new_folder
 from loomgraph.sources import commit, documents, tables
 from loomgraph.streaming import feed
 
@@ -212,7 +213,8 @@ def set_06(spark, d):
 
 
 def folder() -> str:
-    return tempfile.mkdtemp(prefix="loomgraph-src-")
+    """A folder that all executors share."""
+    return new_folder(SparkSession.active(), "query")
 
 
 @query("SELECT r_regionkey, r_name FROM region", plain=True)
@@ -418,7 +420,7 @@ def str_11(spark, d):
         rows.where(F.col("lsn") % 3 == i).coalesce(1).write.mode("append").parquet(path)
     store = commit.Store(spark, place)
     feed.apply_stream(feed.stream_of(spark, path, "key long, lsn long, state string, op string", 3), store, "users", folder()).awaitTermination()
-    return store.read("users").select("key", "lsn", "state")
+    return feed.stored_snapshot(store, "users").select("key", "lsn", "state")
 
 
 @query("SELECT memory_id FROM vis WHERE contains(lower(title) || ' ' || lower(array_to_string(tags, ' ')), 'on')")
