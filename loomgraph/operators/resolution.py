@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,8 +17,14 @@ BAND = 0.85
 OUTCOMES = ("Exact", "Similar", "Different", "Missing")
 
 
+def folded(text: str) -> str:
+    """Lower case, each character by itself."""
+    return "".join(map(str.lower, text))
+
+
 def jaro_similarity(a: str, b: str) -> float:
-    """Share of characters that match within half the longer length, less half the transpositions."""
+    """Share of characters, whatever their case, that match within half the longer length, less half the transpositions."""
+    a, b = folded(a), folded(b)
     if a == b:
         return 1.0
     if not a or not b:
@@ -42,20 +49,28 @@ def winkler(a: str, b: str) -> float:
     base = jaro_similarity(a, b)
     if base <= 0.7:
         return base
+    a, b = folded(a), folded(b)
     same = 0
     while same < min(4, len(a), len(b)) and a[same] == b[same]:
         same += 1
     return base + 0.1 * same * (1 - base)
 
 
+def _compared(measure: Callable[[str, str], float], a: pd.Series, b: pd.Series) -> pd.Series:
+    """A measure of two columns; each pair of values of a batch is compared once."""
+    pairs = list(zip(a, b, strict=True))
+    known = {(x, y): None if x is None or y is None else measure(x, y) for x, y in set(pairs)}
+    return pd.Series([known[p] for p in pairs], dtype=float)
+
+
 @pandas_udf(DoubleType())
 def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    return _compared(jaro_similarity, a, b)
 
 
 @pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else winkler(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    return _compared(winkler, a, b)
 
 
 def band(a: Column, b: Column, least: float = BAND) -> Column:
@@ -69,15 +84,21 @@ def token_band(a: Column, b: Column, least: float = BAND) -> Column:
     return F.when(without_legal_forms(a) == without_legal_forms(b), "Exact").when(token_jaccard(a, b) >= least, "Similar").otherwise("Different")
 
 
-def candidates(corpus: DataFrame, most: int | None = None) -> DataFrame:
-    """Distinct pairs a < b of records (id, name, attributes) that share a blocking key.
+def candidates(corpus: DataFrame, block_rows: int = 1024) -> DataFrame:
+    """Pairs a < b of records (id, name, attributes) that share a blocking key, each once.
 
-    ``most`` drops keys with more records, which bounds the pairs of a very common word.
+    No key is left out.  The records of a frequent key are dealt into blocks and pairs of blocks are
+    joined, so a hot key is many tasks; a pair is sent by the first key that its records share, which
+    needs no comparison of all pairs afterwards.  Rows that repeat an id are one record with all keys.
     """
-    keys = corpus.select("id", F.explode(blocking_keys(F.col("name"), F.col("attributes"))).alias("key"))
-    if most is not None:
-        keys = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("key"), "key", "left_semi")
-    return keys.withColumnRenamed("id", "a").join(keys.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
+    keyed = corpus.select("id", blocking_keys(F.col("name"), F.col("attributes")).alias("keys")).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    rows = keyed.select("id", "keys", F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key").agg(F.expr(f"(count(*) + {block_rows - 1}) div {block_rows}").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    placed = rows.join(sizes.drop("n"), "key").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    left = placed.select("key", F.col("id").alias("x"), F.col("keys").alias("x_keys"), F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("blocks") - 1)).alias("j"))
+    right = placed.select("key", F.col("id").alias("y"), F.col("keys").alias("y_keys"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("at"))).alias("i"), F.col("at").alias("j"))
+    pairs = left.join(right, ["key", "i", "j"]).where("x < y OR i < j").where(F.col("key") == F.array_min(F.array_intersect("x_keys", "y_keys")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def compared(pairs: DataFrame, corpus: DataFrame, attributes: list[str]) -> DataFrame:

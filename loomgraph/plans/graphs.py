@@ -225,9 +225,9 @@ def grf_21(spark, d):
     return consolidation.strengthened(edges(spark, d), memories(spark, d), as_of())
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, {COSINE('a.embedding', 'b.embedding')} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 200 AND b.vec_id < 200 AND {COSINE('a.embedding', 'b.embedding')} >= 0.25", plain=True)
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, {COSINE('a.embedding', 'b.embedding')} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {COSINE('a.embedding', 'b.embedding')} >= 0.25", plain=True)
 def grf_22(spark, d):
-    return vectors.similar_pairs(table(spark, d, "embeddings").where("vec_id < 200"), 0.2499).where("score >= 0.25").select("a", "b", "score")
+    return vectors.similar_pairs(table(spark, d, "embeddings"), 0.2499).where("score >= 0.25").select("a", "b", "score")
 
 
 @query("SELECT memory_type, visibility, CASE visibility WHEN 0 THEN user_id WHEN 1 THEN project WHEN 2 THEN team ELSE org END AS subject, count(*) AS members, 'Abstraction of ' || count(*) || ' ' || memory_type AS title FROM mem GROUP BY 1, 2, 3 HAVING count(*) >= 3")
@@ -345,14 +345,14 @@ def labelled(spark, d):
     return resolution.compared(pairs, suppliers(spark, d), ["nation"])
 
 
-@query("SELECT s_suppkey, round(jaro_similarity(s_name, 'Supplier#000000042'), 6) AS jaro FROM supplier", plain=True)
+@query("SELECT s_suppkey, round(jaro_similarity(lower(s_name), lower('SUPPLIER#000000042')), 6) AS jaro FROM supplier", plain=True)
 def scl_01(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", F.round(resolution.jaro(F.col("s_name"), F.lit("Supplier#000000042")), 6).alias("jaro"))
+    return table(spark, d, "supplier").select("s_suppkey", F.round(resolution.jaro(F.col("s_name"), F.lit("SUPPLIER#000000042")), 6).alias("jaro"))
 
 
-@query("SELECT s_suppkey, round(jaro_winkler_similarity(s_name, 'Supplier#000000042'), 6) AS jw FROM supplier", plain=True)
+@query("SELECT s_suppkey, round(jaro_winkler_similarity(lower(s_name), lower('SUPPLIER#000000042')), 6) AS jw FROM supplier", plain=True)
 def scl_02(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", F.round(resolution.jaro_winkler(F.col("s_name"), F.lit("Supplier#000000042")), 6).alias("jw"))
+    return table(spark, d, "supplier").select("s_suppkey", F.round(resolution.jaro_winkler(F.col("s_name"), F.lit("SUPPLIER#000000042")), 6).alias("jw"))
 
 
 BAND_SQL = "CASE WHEN lower({a}) = lower({b}) THEN 'Exact' WHEN jaro_winkler_similarity(lower({a}), lower({b})) >= 0.85 THEN 'Similar' ELSE 'Different' END"

@@ -11,7 +11,7 @@ from loomgraph.operators import consolidation, governance, graph, ingest, rules,
 from loomgraph.plans.fixture import AS_OF, CALLER, as_of, edges, memories, records, table, versions
 from loomgraph.plans.graphs import COSINE, affinity_sql, composed_sql, facts, shared_sql
 from loomgraph.plans.ingestion import change_feed, delta_folder, folder
-from loomgraph.plans.reads import KINDS_SQL, LIVE, TRIPLES_SQL, VERDICT_SQL
+from loomgraph.plans.reads import KINDS_SQL, LIVE, RECENT_SQL, RECORDS_SQL, TRIPLES_SQL, VERDICT_SQL, batch_and_recent
 from loomgraph.plans.registry import query
 from loomgraph.schema import kinds_table, triples_table
 from loomgraph.sources import commit, documents, tables
@@ -187,9 +187,9 @@ def win_07(spark, d):
     return temporal.rewinds(versions(spark, d), "memory_id", "version_lsn", "title").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, {COSINE('a.embedding', 'b.embedding')} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 300 AND b.vec_id < 300 ORDER BY score DESC, a, b LIMIT 32", plain=True)
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, {COSINE('a.embedding', 'b.embedding')} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id ORDER BY score DESC, a, b LIMIT 32", plain=True)
 def top_05(spark, d):
-    pairs = vectors.similar_pairs(table(spark, d, "embeddings").where("vec_id < 300"), -1.1).select("a", "b", "score")
+    pairs = vectors.similar_pairs(table(spark, d, "embeddings"), -1.1, most=32).select("a", "b", "score")
     return pairs.orderBy(F.desc("score"), "a", "b").limit(32)
 
 
@@ -238,9 +238,9 @@ def scl_04(spark, d):
     return table(spark, d, "part").select("p_partkey", scalars.without_legal_forms(noisy).alias("name"))
 
 
-@query("SELECT 's' || s_suppkey AS id, list_aggregate(list_sort(['p:' || substr(lower(s_name), 1, 3), 't:' || lower(s_name), 'a:nation:' || s_nationkey]), 'string_agg', ',') AS keys FROM supplier", plain=True)
+@query(f"SELECT id, list_aggregate(list_sort(list_concat(['p:' || substr(lower(name), 1, 3), 't:' || lower(name)], attrs)), 'string_agg', ',') AS keys FROM ({RECORDS_SQL})", plain=True)
 def scl_05(spark, d):
-    return records(spark, d).where("id LIKE 's%'").select("id", F.array_join(scalars.blocking_keys(F.col("name"), F.col("attributes")), ",").alias("keys"))
+    return records(spark, d).select("id", F.array_join(scalars.blocking_keys(F.col("name"), F.col("attributes")), ",").alias("keys"))
 
 
 @query(f"SELECT memory_id, CAST(greatest(1.0 - 0.01 * (date_diff('second', recorded_at, {AS_OF}) // 86400), 0.5) AS DOUBLE) AS decay FROM mem")
@@ -253,9 +253,9 @@ def scl_21(spark, d):
     return table(spark, d, "documents").select("doc_id", F.lower(F.hex(F.substring("text", 1, 12))).alias("h"))
 
 
-@query("SELECT doc_id, 64 AS width, TRUE AS unit FROM documents WHERE doc_id < 200", plain=True)
+@query("SELECT doc_id, 64 AS width, TRUE AS unit FROM documents", plain=True)
 def scl_24(spark, d):
-    rows = table(spark, d, "documents").where("doc_id < 200").select("doc_id", governance.embed("text").alias("v"))
+    rows = table(spark, d, "documents").select("doc_id", governance.embed("text").alias("v"))
     return rows.select("doc_id", F.size("v").alias("width"), (F.abs(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) - 1) < 1e-9).alias("unit"))
 
 
@@ -340,19 +340,19 @@ def ing_08(spark, d):
     return done.select("memory_id", F.col("embedding.model.name").alias("model"))
 
 
-HINT_SQL = f"SELECT new, arg_min(prior, rank) AS prior, max(score) AS score FROM (SELECT a.vec_id AS new, b.vec_id AS prior, {COSINE('a.embedding', 'b.embedding')} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE('a.embedding', 'b.embedding')} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id >= 400 AND b.vec_id < 400 AND {{w}}) WHERE rank = 1 GROUP BY new"
+HINT_SQL = f"WITH {RECENT_SQL} SELECT new, arg_min(prior, rank) AS prior, max(score) AS score FROM (SELECT a.vec_id AS new, b.vec_id AS prior, {COSINE('a.embedding', 'b.embedding')} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE('a.embedding', 'b.embedding')} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id IN (SELECT vec_id FROM newest) AND b.vec_id IN (SELECT vec_id FROM recent) AND {{w}}) WHERE rank = 1 GROUP BY new"
 
 
 @query(HINT_SQL.format(w=COSINE("a.embedding", "b.embedding") + " >= 0.2"), plain=True)
 def ing_10(spark, d):
     rows = table(spark, d, "embeddings")
-    return vectors.best_prior(rows.where("vec_id >= 400"), rows.where("vec_id < 400"), 0.2)
+    return vectors.best_prior(*batch_and_recent(rows), 0.2)
 
 
 @query(HINT_SQL.format(w=f"{COSINE('a.embedding', 'b.embedding')} >= 0.1 AND {COSINE('a.embedding', 'b.embedding')} < 0.25"), plain=True)
 def ing_11(spark, d):
     rows = table(spark, d, "embeddings")
-    return vectors.best_prior(rows.where("vec_id >= 400"), rows.where("vec_id < 400"), 0.1, 0.25)
+    return vectors.best_prior(*batch_and_recent(rows), 0.1, 0.25)
 
 
 @query(f"SELECT (SELECT count(*) FROM {KINDS_SQL}) AS kinds, (SELECT count(*) FROM {TRIPLES_SQL}) AS triples", plain=True)

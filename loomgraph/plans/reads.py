@@ -309,20 +309,32 @@ def jon_08(spark, d):
     return pairs.where("score >= 0.3")
 
 
-@query(f"SELECT new, arg_min(prior, rank) AS prior, max(score) AS score FROM (SELECT a.vec_id AS new, b.vec_id AS prior, {COSINE('a.embedding', 'b.embedding')} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE('a.embedding', 'b.embedding')} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id >= 450 AND b.vec_id < 450) WHERE rank = 1 AND score >= 0.1 GROUP BY new", plain=True)
+#: The newest tenth of the ids is a batch; what it is compared with are the 512 rows before it.
+RECENT = 512
+RECENT_SQL = f"newest AS (SELECT vec_id FROM embeddings WHERE vec_id > (SELECT max(vec_id) * 9 // 10 FROM embeddings)), recent AS (SELECT vec_id FROM embeddings WHERE vec_id <= (SELECT max(vec_id) * 9 // 10 FROM embeddings) ORDER BY vec_id DESC LIMIT {RECENT})"
+
+
+def batch_and_recent(rows):
+    placed = rows.join(F.broadcast(rows.agg(F.expr("max(vec_id) * 9 div 10").alias("bound"))), F.lit(True))
+    return placed.where("vec_id > bound").drop("bound"), placed.where("vec_id <= bound").drop("bound").orderBy(F.desc("vec_id")).limit(RECENT)
+
+
+@query(f"WITH {RECENT_SQL} SELECT new, arg_min(prior, rank) AS prior, max(score) AS score FROM (SELECT a.vec_id AS new, b.vec_id AS prior, {COSINE('a.embedding', 'b.embedding')} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE('a.embedding', 'b.embedding')} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id IN (SELECT vec_id FROM newest) AND b.vec_id IN (SELECT vec_id FROM recent)) WHERE rank = 1 AND score >= 0.1 GROUP BY new", plain=True)
 def jon_09(spark, d):
     rows = table(spark, d, "embeddings")
-    return vectors.best_prior(rows.where("vec_id >= 450"), rows.where("vec_id < 450"), 0.1)
+    return vectors.best_prior(*batch_and_recent(rows), 0.1)
 
 
-KEYS_SQL = "SELECT id, unnest(list_distinct(list_concat(['p:' || substr(lower(name), 1, 3)], ['t:' || lower(name)], attrs))) AS key FROM (SELECT 's' || s_suppkey AS id, s_name AS name, ['a:nation:' || s_nationkey] AS attrs FROM supplier)"
+RECORDS_SQL = "SELECT 's' || s_suppkey AS id, s_name AS name, ['a:nation:' || s_nationkey] AS attrs FROM supplier UNION ALL SELECT 'c' || c_custkey, c_name, ['a:nation:' || c_nationkey, 'a:segment:' || c_mktsegment] FROM customer"
+KEYS_SQL = f"SELECT id, unnest(list_distinct(list_concat(['p:' || substr(lower(name), 1, 3)], ['t:' || lower(name)], attrs))) AS key FROM ({RECORDS_SQL})"
 
 
-@query(f"WITH keys AS ({KEYS_SQL}), often AS (SELECT key FROM keys GROUP BY key HAVING count(*) <= 20) SELECT DISTINCT x.id AS a, y.id AS b FROM keys x JOIN keys y ON x.key = y.key AND x.id < y.id WHERE x.key IN (SELECT key FROM often)", plain=True)
+@query(f"WITH keys AS ({KEYS_SQL}) SELECT a, count(*) AS partners, min(b) AS first, max(b) AS last FROM (SELECT DISTINCT x.id AS a, y.id AS b FROM keys x JOIN keys y ON x.key = y.key AND x.id < y.id) GROUP BY a", plain=True)
 def jon_10(spark, d):
+    """All pairs of records that share a key, told by how many partners each record has and which."""
     from loomgraph.operators.resolution import candidates
 
-    return candidates(records(spark, d).where("id LIKE 's%'"), 20)
+    return candidates(records(spark, d)).groupBy("a").agg(F.count("*").alias("partners"), F.min("b").alias("first"), F.max("b").alias("last"))
 
 
 @query("""SELECT a.memory_id AS from_id, b.memory_id AS to_id, count(*) AS shared, CAST(0.9 AS DOUBLE) AS quality FROM (SELECT memory_id, project, unnest(entities) AS e FROM mem WHERE memory_id IN (SELECT memory_id FROM mem ORDER BY memory_id LIMIT 64)) a

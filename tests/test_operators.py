@@ -168,6 +168,51 @@ def test_resolution_from_labels_to_decisions(spark):
         resolution.estimate(labelled.where("label = 'match'"))
 
 
+def test_candidates_and_vector_pairs_equal_brute_force_in_blocks(spark):
+    import random
+    from itertools import combinations
+
+    import numpy as np
+
+    from loomgraph.functions.scalars import blocking_keys
+    from loomgraph.operators import vectors
+
+    g = random.Random(2)
+    names = [" ".join(g.choice(["Acme", "Bolt", "Cord", "Dyne", "Echo"]) + g.choice(["", "x", "y"]) for _ in range(g.randint(1, 3))) for _ in range(90)]
+    corpus = spark.createDataFrame([(f"r{i % 85}", n, {"city": g.choice(["Rome", "Oslo"])} if i % 3 else None) for i, n in enumerate(names)], "id string, name string, attributes map<string,string>")
+    keys = {}
+    for r in corpus.select("id", blocking_keys(F.col("name"), F.col("attributes")).alias("k")).collect():
+        keys.setdefault(r.id, set()).update(r.k)
+    got = [tuple(r) for r in resolution.candidates(corpus, block_rows=7).collect()]
+    assert sorted(got) == sorted((a, b) for a, b in combinations(sorted(keys), 2) if keys[a] & keys[b])
+
+    n = np.random.default_rng(4)
+    rows = [(i, i % 3 if i % 11 else None, n.normal(size=4 if i % 5 else 3).round(3).tolist() if i % 13 else None) for i in range(120)]
+    rows[7], rows[8] = (7, 1, [0.0] * 4), (8, 2, [1.0, None, 2.0, 3.0])
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+
+    def cosine(x, y):
+        if x is None or y is None or None in x or None in y:
+            return None
+        x, y = (np.array(v[: min(len(x), len(y))]) for v in (x, y))
+        norm = np.sqrt(x @ x) * np.sqrt(y @ y)
+        return 0.0 if norm == 0 else float(x @ y / norm)
+
+    every = {(a[0], b[0]): cosine(a[2], b[2]) for a, b in combinations(rows, 2) if a[1] is not None and a[1] == b[1]}
+    want = {(*k, round(v, 6) + 0.0) for k, v in every.items() if v is not None and v >= 0.2}
+    found = vectors.similar_pairs(frame, 0.2, block_rows=9)
+    assert {(r.a, r.b, r.score) for r in found.collect()} == want and found.count() == len(want)
+    best = sorted(want, key=lambda r: (-r[2], r[0], r[1]))[:10]
+    top = vectors.similar_pairs(frame, 0.2, most=10, block_rows=9).orderBy(F.desc("score"), "a", "b").limit(10)
+    assert [(r.a, r.b, r.score) for r in top.collect()] == best
+    prior = vectors.best_prior(frame.where("vec_id >= 90"), frame.where("vec_id < 90"), 0.1, 0.9, block_rows=9)
+    expected = {}
+    for (a, b), v in every.items():
+        if a < 90 <= b and v is not None and 0.1 <= round(v, 6) < 0.9:
+            expected[b] = min(expected.get(b, (9, 9)), (-round(v, 6), a))
+    assert {r.new: (-r.score, r.prior) for r in prior.collect()} == expected
+
+
 def test_vocabulary_and_verdicts(spark):
     assert len(KINDS) == 49 and ("Fix", "Fixes", "Problem") in triples() and (None, "RelatedTo", None) in triples()
     rows = [("ok", "Fixes", "Fix", "Error", 0.5), ("kind", "Likes", "Fix", "Error", 0.5), ("computed", "SimilarTo", "Fix", "Error", 0.5), ("triple", "Fixes", "Task", "Error", 0.5), ("end", "Fixes", "Fix", None, 0.5), ("nan", "Fixes", "Fix", "Error", float("nan")), ("range", "Fixes", "Fix", "Error", 1.5)]
