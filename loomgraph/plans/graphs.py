@@ -9,6 +9,8 @@ from loomgraph.operators import consolidation, graph, resolution, rules, tempora
 from loomgraph.plans.fixture import AS_OF, CALLER, as_of, edges, memories, records, table
 from loomgraph.plans.reads import COSINE, KINDS_SQL, LIVE
 from loomgraph.plans.registry import query
+from loomgraph.session import new_folder
+from loomgraph.sources.commit import Store
 from loomgraph.schema import kinds_table
 
 
@@ -442,13 +444,12 @@ def scl_26_labels(spark, d):
 
 @query()
 def grf_25(spark, d):
-    """A whole cycle over the live rows: anchors, merges, rewiring, strengthening, abstractions and discoveries, counted."""
-    nodes, links = memories(spark, d).where(temporal.live(as_of())), edges(spark, d).where(temporal.live(as_of()))
-    start = consolidation.anchors(nodes, as_of())
-    _, moved = consolidation.merged(nodes, links, mapping(spark), as_of())
-    steps = [("anchors", start), ("rewired", moved), ("strengthened", consolidation.strengthened(links, nodes, as_of())), ("abstractions", consolidation.abstraction_groups(nodes)), ("discoveries", consolidation.transitive_discoveries(links))]
-    out = None
-    for name, frame in steps:
-        row = frame.agg(F.count("*").alias("n")).select(F.lit(name).alias("step"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Two cycles over a store of documents with their vectors: one is kept, the other regresses and is undone."""
+    vector = table(spark, d, "embeddings").select(F.concat(F.lit("doc:"), "vec_id").alias("memory_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    store = Store(spark, new_folder(spark, "cycle"))
+    store.commit({"memories": memories(spark, d).join(vector, "memory_id", "left"), "edges": edges(spark, d)})
+    for tolerance in (consolidation.TOLERANCE, -1e6):
+        consolidation.cycle(store, as_of(), tolerance)
+    changed = [(v, t, len(store.manifest(v)["tables"].get(t, []))) for v in store.versions() for t in ("memories", "edges", "similar", "abstractions")]
+    folders = spark.createDataFrame(changed, "version int, name string, folders int")
+    return folders.unionByName(store.read("audit").select(F.lit(0).alias("version"), F.concat(F.lit("rolled back "), F.col("rolled_back").cast("string")).alias("name"), F.col("anchors").cast("int").alias("folders")))

@@ -11,6 +11,7 @@ from loomgraph.functions import scalars
 from loomgraph.operators import consolidation, graph, ingest, resolution, rules, search, temporal, vectors, visibility
 from loomgraph.schema import KINDS, kinds_table, triples, triples_table
 from loomgraph.session import shared_folder
+from loomgraph.sources.commit import Store
 
 T0 = datetime(2024, 1, 1)
 NODE = "memory_id string, org string, project string, team string, user_id string, visibility int"
@@ -124,6 +125,87 @@ def test_rewiring_drops_loops_and_open_copies(spark):
     assert sorted((r.from_id, r.to_id, r.valid_until is None) for r in moved.collect()) == [("a", "b", False), ("a", "c", True), ("b", "c", False)]
 
 
+def cycle_store(spark, path, near):
+    """Three groups of three rows around a direction each; ``near`` is how far they are apart."""
+    rows = []
+    for g in range(3):
+        for k in range(3):
+            v = [0.0] * 12
+            v[g], v[3 + 3 * g + k] = 1.0, near
+            rows.append((f"m{g}{k}", 1, "Fix", f"c{g}", f"t{g}{k}", 3, "u", "p", "t", "o", "Asserted", T0, T0, None, None, v))
+    schema = "memory_id string, version_lsn long, memory_type string, class string, title string, visibility int, user_id string, project string, team string, org string, provenance string, recorded_at timestamp, valid_from timestamp, valid_until timestamp, invalidated_by string, embedding array<double>"
+    edges = [(f"r{i}", 1, a, b, "Uses", "Asserted", 0.5, 0.5, 1, None, T0, T0, None, None) for i, (a, b) in enumerate([("m00", "m10"), ("m01", "m20"), ("m02", "m00")])]
+    kinds = "rel_id string, version_lsn long, from_id string, to_id string, kind string, provenance string, strength double, confidence double, evidence_count int, success_rate double, valid_from timestamp, recorded_at timestamp, valid_until timestamp, invalidated_by string"
+    store = Store(spark, str(path))
+    store.commit({"memories": spark.createDataFrame(rows, schema), "edges": spark.createDataFrame(edges, kinds)})
+    return store
+
+
+def test_a_cycle_is_committed_as_a_whole(spark, tmp_path):
+    store, at = cycle_store(spark, tmp_path, 0.05), F.lit(T0 + timedelta(days=1))
+    row = consolidation.cycle(store, at, tolerance=10.0, group="class")
+    assert (row["anchors"], row["merged"], row["regression"], row["rolled_back"], row["hairball_regression"]) == (9, 6, False, False, False)
+    rows = {r.memory_id: r for r in temporal.latest(store.read("memories"), "memory_id").collect()}
+    assert sorted(i for i, r in rows.items() if r.valid_until is None) == ["m00", "m10", "m20"] and {r.invalidated_by for i, r in rows.items() if i[1] == "0" and i != "m00"} == {"m00"}
+    assert sorted(r.version_lsn for r in store.read("memories").collect()) == [1] * 9 + list(range(2, 8))
+    open_edges = {(r.from_id, r.to_id) for r in temporal.latest(store.read("edges"), "rel_id").collect() if r.valid_until is None}
+    assert open_edges == {("m00", "m10"), ("m00", "m20")}  # m02 to m00 would be a loop
+    assert {(r.rel_id, r.evidence_count) for r in store.read("edges").collect() if r.evidence_count == 2} == {("r0", 2)}
+    assert store.read("similar").count() == 0 and store.read("audit").count() == 1 and store.version() == 2
+    again = consolidation.cycle(store, at, tolerance=10.0, group="class")
+    assert (again["anchors"], again["merged"]) == (3, 0)
+
+
+def test_a_regression_is_undone_and_audited(spark, tmp_path):
+    store, at = cycle_store(spark, tmp_path, 0.05), F.lit(T0 + timedelta(days=1))
+    before = store.manifest()["tables"]
+    row = consolidation.cycle(store, at, tolerance=-1e6, group="class")
+    assert row["merged"] == 6 and row["regression"] and row["rolled_back"]
+    after = store.manifest()["tables"]
+    assert {t: after[t] for t in before} == before and set(after) == {*before, "audit"}
+    assert store.read("memories").where("valid_until IS NOT NULL").count() == 0 and store.read("audit").first().rolled_back
+    kept = consolidation.cycle(store, at, tolerance=-1e6, rollback=False, group="class")
+    assert kept["regression"] and not kept["rolled_back"] and store.read("memories").where("valid_until IS NOT NULL").count() == 6
+
+
+def test_a_cycle_of_too_few_rows_changes_nothing(spark, tmp_path):
+    store = cycle_store(spark, tmp_path, 0.05)
+    store.commit({"memories": store.read("memories").where("memory_id = 'm00'")})
+    row = consolidation.cycle(store, F.lit(T0 + timedelta(days=1)), group="class")
+    assert (row["anchors"], row["merged"], row["delta_before"], row["regression"]) == (1, 0, None, False)
+    assert set(store.manifest()["tables"]) == {"memories", "edges", "audit"}
+
+
+def test_survivors_that_are_alike_are_linked(spark, tmp_path):
+    store = cycle_store(spark, tmp_path, 0.35)  # a cosine of 0.89
+    row = consolidation.cycle(store, F.lit(T0 + timedelta(days=1)), tolerance=10.0, group="class")
+    assert (row["merged"], row["similar"]) == (0, 9)
+    assert {(r.a, r.b) for r in store.read("similar").where("a < 'm1'").collect()} == {("m00", "m01"), ("m00", "m02"), ("m01", "m02")}
+
+
+def test_coding_rates_of_the_sample_vectors(spark):
+    """agg_07, agg_08 and agg_09 against numpy on whole tables."""
+    import duckdb
+
+    from loomgraph.plans import catalog
+
+    rows = duckdb.sql("SELECT label, embedding FROM '/root/testdata/sf0.01/embeddings.parquet' WHERE embedding IS NOT NULL").fetchall()
+    x, labels = np.array([v for _, v in rows], float), np.array([g for g, _ in rows])
+
+    def rate(m):
+        return np.linalg.slogdet(np.eye(m.shape[1]) + m.shape[1] / (len(m) * 0.25) * m.T @ m)[1] / 2
+
+    whole = rate(x)
+    compact = sum((labels == g).sum() * rate(x[labels == g]) for g in set(labels.tolist())) / len(x)
+    got = catalog.queries()["agg_08"](spark, "/root/testdata/sf0.01").first().asDict()
+    for name, value in (("total", whole), ("compact", compact), ("delta", whole - compact)):
+        if name in got:
+            assert got[name] == pytest.approx(value, abs=1e-4)
+    rates = {str(r.label): r.rate for r in catalog.queries()["agg_07"](spark, "/root/testdata/sf0.01").collect()}
+    assert rates and all(rates[k] == pytest.approx(rate(x[labels == int(k)]) if k != "*" else whole, abs=1e-4) for k in rates)
+    assert catalog.queries()["agg_09"](spark, "/root/testdata/sf0.01").first().consolidate == (whole - compact < 0 or compact / whole > 0.98)
+
+
 def test_scalars(spark):
     v = lambda c: value(spark, c)
     assert v(scalars.effective_strength(F.lit(0.5), F.lit(5), F.lit(1.0), F.lit(10))) == pytest.approx((0.5 + 0.1) * 0.9)
