@@ -7,6 +7,7 @@ Columns are never inferred, only mapped ones are read, and cells are rendered as
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from dataclasses import dataclass, field
@@ -148,12 +149,30 @@ class TableState:
     partitions: list[str] = field(default_factory=list)
 
 
+def delta_checkpoint(names: list[str]) -> tuple[int, list[str]]:
+    """The version and files of the newest complete checkpoint among a log's names; -1 and none if there is none.
+
+    A checkpoint is one file, or parts whose names tell how many there are; one that misses parts is passed over.
+    """
+    found: dict[int, list[str]] = {}
+    parts: dict[tuple[int, int], dict[int, str]] = {}
+    for name in names:
+        if m := re.fullmatch(r"([0-9]+)\.checkpoint\.parquet", name):
+            found[int(m[1])] = [name]
+        elif m := re.fullmatch(r"([0-9]+)\.checkpoint\.([0-9]+)\.([0-9]+)\.parquet", name):
+            parts.setdefault((int(m[1]), int(m[3])), {})[int(m[2])] = name
+    for (version, total), files in parts.items():
+        if len(files) == total:
+            found.setdefault(version, [files[i] for i in sorted(files)])
+    base = max(found, default=-1)
+    return base, found.get(base, [])
+
+
 def delta_state(spark: SparkSession, path: str) -> TableState:
     """The live files of a Delta table: commits after the last checkpoint, the latest action of a path."""
     log = f"{path}/_delta_log"
     names = [f.getPath().getName() for f in _listed(spark, log)]
-    checkpoints = sorted({int(n.split(".")[0]) for n in names if n.endswith(".checkpoint.parquet") and n.count(".") == 2})
-    base = checkpoints[-1] if checkpoints else -1
+    base, checkpoint = delta_checkpoint(names)
     commits = sorted(n for n in names if n.endswith(".json") and n[:20].isdigit() and int(n[:20]) > base)
     if not commits and base < 0:
         raise ValueError(f"no commits in {log}")
@@ -165,7 +184,7 @@ def delta_state(spark: SparkSession, path: str) -> TableState:
         actions = spark.read.schema(DELTA_ACTIONS).json([f"{log}/{n}" for n in commits])
         frames.append(actions.withColumn("version", F.regexp_extract(F.input_file_name(), r"(\d{20})\.json", 1).cast("long")))
     if base >= 0:
-        kept = spark.read.parquet(f"{log}/{base:020d}.checkpoint.parquet")
+        kept = spark.read.parquet(*[f"{log}/{n}" for n in checkpoint])
         present = [c for c in ("add", "remove", "metaData", "protocol") if c in kept.columns]
         names_json = kept.select(F.to_json(F.struct(*present)).alias("j")).select(F.from_json("j", DELTA_ACTIONS).alias("a")).select("a.*")
         frames.append(names_json.withColumn("version", F.lit(base).cast("long")))
@@ -195,13 +214,21 @@ def read_files(spark: SparkSession, path: str, state: TableState) -> DataFrame:
     if not rows:
         return spark.createDataFrame([], schema)
     inside = [n for n in names if n not in state.partitions]
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = target.getFileSystem(spark._jsc.sc().hadoopConfiguration()).makeQualified(target).toString()
     data = spark.read.parquet(*[r["path"] if "://" in r["path"] or r["path"].startswith("/") else f"{path}/{r['path']}" for r in rows])
-    cells = data.select(*[(F.col(n) if n in data.columns else F.lit(None)).cast("string").alias(n) for n in inside], F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_file"))
-    files = state.files.select(F.element_at(F.split("path", "/"), -1).alias("_file"), "partitionValues")
-    joined = cells.join(files, "_file", "left")
+    read = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    cells = data.select(*[(F.col(n) if n in data.columns else F.lit(None)).cast("string").alias(n) for n in inside], _rooted(read).alias("_file"))
+    place = F.when(F.col("path").contains("://") | F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit(whole + "/"), "path"))
+    joined = cells.join(state.files.select(_rooted(place).alias("_file"), "partitionValues"), "_file", "left")
     return joined.select(*[F.element_at("partitionValues", n).alias(n) if n in state.partitions else F.col(n) for n in names])
 
 
+def _rooted(path: Column) -> Column:
+    """A whole path without its scheme, which is written in several ways: files of one name in two folders differ."""
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:/*|^/+", "/")
+
+
 def delta_table(spark: SparkSession, path: str) -> DataFrame:
     return read_files(spark, path, delta_state(spark, path))
 

@@ -57,6 +57,26 @@ def test_delta_log_is_replayed(spark, tmp_path):
     assert tables.delta_state(spark, path).version == "1"
 
 
+def test_delta_checkpoints_of_parts_and_files_of_one_name(spark, tmp_path):
+    path = delta(tmp_path, spark, [])
+    for day in ("mon", "tue é+1"):
+        (tmp_path / f"day={day}").mkdir()
+        spark.createDataFrame([(day,)], "who string").coalesce(1).write.parquet(str(tmp_path / "tmp" / day))
+        os.rename(next((tmp_path / "tmp" / day).glob("*.parquet")), tmp_path / f"day={day}" / "part-0.parquet")
+    schema = json.dumps({"type": "struct", "fields": [{"name": n, "type": "string"} for n in ("who", "day")]})
+    added = lambda day, name: {"path": f"day={name}/part-0.parquet", "partitionValues": {"day": day}, "size": 1}
+    types = "add struct<path:string,partitionValues:map<string,string>,size:bigint>, metaData struct<schemaString:string,partitionColumns:array<string>,configuration:map<string,string>>"
+    parts = [[(added("mon", "mon"), None)], [(added("tue é+1", "tue%20%C3%A9+1"), None), (None, (schema, ["day"], {}))]]
+    for i, rows in enumerate(parts, 1):
+        spark.createDataFrame(rows, types).coalesce(1).write.parquet(str(tmp_path / "tmp" / f"c{i}"))
+        os.rename(next((tmp_path / "tmp" / f"c{i}").glob("*.parquet")), tmp_path / "_delta_log" / f"{3:020d}.checkpoint.{i:010d}.{2:010d}.parquet")
+    (tmp_path / "_delta_log" / f"{9:020d}.checkpoint.{1:010d}.{2:010d}.parquet").touch()  # its other part was never written
+    got = sorted(tuple(r) for r in tables.delta_table(spark, path).collect())
+    assert got == [("mon", "mon"), ("tue é+1", "tue é+1")] and tables.delta_state(spark, path).version == "3"
+    assert tables.delta_checkpoint(["1.checkpoint.parquet", "2.checkpoint.0.2.parquet", "2.checkpoint.1.2.parquet", "x.json"]) == (2, ["2.checkpoint.0.2.parquet", "2.checkpoint.1.2.parquet"])
+    assert tables.delta_checkpoint([]) == (-1, [])
+
+
 @pytest.mark.parametrize("bad", [{"protocol": {"minReaderVersion": 3}}, {"add": {**ADD["add"], "deletionVector": {"storageType": "u"}}}, {"metaData": {**META["metaData"], "configuration": {"delta.columnMapping.mode": "name"}}}])
 def test_delta_features_that_are_not_read(spark, tmp_path, bad):
     path = delta(tmp_path, spark, [[META, ADD], [bad]])
