@@ -241,3 +241,30 @@ def egress(licence: Column, consent: Column) -> Column:
 
 def cleaned_tags(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tags", normalized_tags(F.col("tags")))
+
+
+def materialized(entries: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Memories, edges and what is dropped of offline log entries, as the commit of their batches would make them.
+
+    ``entries`` has (entry, session, memories, memory_ids, tags, links): parallel arrays of drafts (memory_type,
+    title, content), ids and tags, and links (from, to, to_id, kind) between places of the entry, or to an id
+    if ``to`` is null, which must be in the entry or in ``known`` (memory_id).  An entry whose drafts and ids
+    differ in number gives nothing but a line in what is dropped.  Sessions get their node and edges.
+    """
+    good = F.coalesce(F.size("memories") == F.size("memory_ids"), F.lit(False))
+    uneven = entries.where(~good).select("entry", F.lit("uneven").alias("reason"))
+    whole = entries.where(good)
+    drafts = whole.select("entry", "session", "memory_ids", "tags", F.posexplode("memories").alias("at", "m"))
+    tags = normalized_tags(F.coalesce(F.get("tags", F.col("at")), F.array().cast("array<string>")))
+    rows = drafts.select("entry", F.get("memory_ids", F.col("at")).alias("memory_id"), "m.memory_type", "m.title", "m.content", tags.alias("tags"), "session", F.lit(0.5).alias("importance"), F.lit(0.8).alias("confidence"))
+    links = whole.select("entry", "memory_ids", F.explode("links").alias("l"))
+    place = lambda n: F.when(n >= 0, F.get("memory_ids", n))
+    ends = links.select("entry", place(F.col("l.from")).alias("from_id"), F.when(F.col("l.to").isNull(), F.col("l.to_id")).otherwise(place(F.col("l.to"))).alias("to_id"), F.col("l.kind").alias("kind"))
+    there = known.select(F.col("memory_id").alias("to_id")).unionByName(rows.select(F.col("memory_id").alias("to_id"))).distinct().withColumn("there", F.lit(True))
+    judged = ends.join(there, "to_id", "left").withColumn("there", F.coalesce("there", F.lit(False)) & F.col("from_id").isNotNull())
+    edges = judged.where("there").select(derived_id("edge", F.col("from_id"), F.col("kind"), F.col("to_id")).alias("rel_id"), "from_id", "to_id", "kind")
+    sessions, within = grouping(rows.select("memory_id", "session"))
+    nodes = rows.select("memory_id", "memory_type", "title", "content", "tags", "importance", "confidence")
+    node = sessions.select("memory_id", "memory_type", F.col("session").alias("title"), F.lit("").alias("content"), F.array().cast("array<string>").alias("tags"), F.lit(0.5).alias("importance"), F.lit(0.8).alias("confidence"))
+    dropped = uneven.unionByName(judged.where("NOT there").select("entry", F.lit("no end").alias("reason")))
+    return nodes.unionByName(node), edges.unionByName(within.select("rel_id", "from_id", "to_id", "kind")), dropped

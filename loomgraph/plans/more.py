@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from loomgraph.plans.registry import query
 from loomgraph.schema import kinds_table, triples_table
 from loomgraph.sources import commit, documents, tables
 from loomgraph.streaming import feed
+from loomgraph.streaming.outbox import Outbox
 
 # --- sources ----------------------------------------------------------------------------------
 
@@ -136,6 +138,63 @@ def snk_11(spark, d):
     return spark.read.schema("memory_id string").json(f"{path}/memories").agg(F.count("memory_id").alias("n"))
 
 
+@query("SELECT 'r' || r_regionkey AS effect_id, CASE WHEN r_regionkey = 0 THEN 'cleaned' WHEN r_regionkey = 1 THEN 'acknowledged 3' ELSE 'pending' END AS state FROM region", plain=True)
+def snk_10(spark, d):
+    """Effects of a commit: one is delivered and cleaned up, one is delivered by the worker that claimed it again."""
+    box, start = Outbox(commit.Store(spark, folder())), datetime(2024, 1, 1)
+    late = start + timedelta(minutes=2)
+    box.add(table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("effect_id"), F.col("r_name").alias("payload")))
+    first = box.claim("a", start, 60)
+    box.acknowledge(first["effect_id"], "a", start)
+    second = box.claim("a", start, 60)
+    box.claim("b", start, 60)  # refused while the other is held
+    again = box.claim("b", late, 60)
+    box.acknowledge(second["effect_id"], "a", late)  # refused: it ran out
+    box.acknowledge(again["effect_id"], "b", late)
+    box.clean(first["effect_id"], first["generation"])
+    state = F.when(F.col("cleaned"), "cleaned").when(F.col("acknowledged"), F.concat(F.lit("acknowledged "), F.col("generation").cast("string"))).otherwise("pending")
+    return box.rows().select("effect_id", state.alias("state"))
+
+
+@query(f"SELECT memory_id, memory_type FROM mem WHERE recorded_at <= {AS_OF} AND valid_from <= {AS_OF} AND (valid_until IS NULL OR valid_until > {AS_OF}) AND provenance <> 'ExternalSnapshot'")
+def snk_12(spark, d):
+    """A backup at a cut, written and read again."""
+    path = folder()
+    commit.export({"memories": commit.corpus(memories(spark, d), edges(spark, d), as_of())["memories"]}, path)
+    return spark.read.schema("memory_id string, memory_type string").json(f"{path}/memories")
+
+
+FEED_SQL = "SELECT user_id AS key, event_id AS lsn, event_type AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'"
+
+
+@query(f"SELECT how, key, lsn, state FROM ({FEED_SQL}) CROSS JOIN (SELECT unnest(['hydrated', 'tailed', 'reseeded']) AS how)", plain=True)
+def str_12(spark, d):
+    """A client without rows, one that can follow the retained events, and one that has been away too long."""
+    every = change_feed(spark, d)
+    none = every.limit(0).drop("op")
+    source = lambda: (feed.applied(none, every), every.agg(F.max("lsn")).first()[0])
+    retained, out = every.where("lsn >= 300"), None
+    for since in (-1, 500, 100):
+        rows, _, how = feed.synchronised(feed.applied(none, every.where(F.col("lsn") <= since)), since, retained, source)
+        rows = rows.select(F.lit(how).alias("how"), "key", "lsn", "state")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""SELECT a AS from_id, b AS to_id, kind FROM (SELECT 'doc:' || min(doc_id) AS a, 'doc:' || (min(doc_id) + 1) AS b, 'RelatedTo' AS kind FROM documents GROUP BY doc_id // 10 HAVING count(*) > 1
+UNION ALL SELECT 'doc:' || min(doc_id), 'known', 'Uses' FROM documents GROUP BY doc_id // 10)""", plain=True)
+def ing_14(spark, d):
+    """Offline log entries of ten documents each, as rows: their links, of which those without an end are dropped."""
+    rows = table(spark, d, "documents").select("doc_id", F.expr("doc_id div 10").alias("entry"), F.struct("doc_id", F.struct(F.lit("Fix").alias("memory_type"), F.col("source").alias("title"), F.lit("").alias("content")).alias("m"), F.array("lang").alias("t")).alias("d"))
+    link = lambda to, name, kind: f"named_struct('from', 0, 'to', CAST({to} AS INT), 'to_id', {name}, 'kind', '{kind}')"
+    entries = rows.groupBy("entry").agg(F.array_sort(F.collect_list("d")).alias("d")).select(
+        "entry", F.concat(F.lit("s"), "entry").alias("session"), F.expr("d.m").alias("memories"), F.expr("transform(d, x -> concat('doc:', x.doc_id))").alias("memory_ids"), F.expr("d.t").alias("tags"),
+        F.expr(f"array({link('1', 'CAST(NULL AS STRING)', 'RelatedTo')}, {link('NULL', chr(39) + 'known' + chr(39), 'Uses')}, {link('NULL', chr(39) + 'unknown' + chr(39), 'Uses')})").alias("links"),
+    )
+    links = ingest.materialized(entries, spark.createDataFrame([("known",)], "memory_id string"))[1]
+    return links.where("kind <> 'InSession'").select("from_id", "to_id", "kind")
+
+
 @query("SELECT state, count(*) AS n FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'synced' WHEN event_id % 5 = 0 THEN 'failed' ELSE 'pending' END AS state FROM events) GROUP BY state", plain=True)
 def snk_13(spark, d):
     log = table(spark, d, "events").select(F.col("event_id").alias("entry"))

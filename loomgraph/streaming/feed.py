@@ -5,7 +5,7 @@ Order is by lsn, and lateness is an lsn below the next one expected; event time
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +40,21 @@ def replay(retained: DataFrame, since: int, lsn: str = "lsn") -> tuple[str, Data
     return "Fresh", retained.where(F.col(lsn) > since).orderBy(lsn)
 
 
+def synchronised(snapshot: DataFrame, since: int, retained: DataFrame, source: Callable[[], tuple[DataFrame, int]], key: str = "key", lsn: str = "lsn") -> tuple[DataFrame, int, str]:
+    """A client's rows brought up to date: (rows, the lsn they are of, how).
+
+    ``hydrated`` without a snapshot yet (``since`` below 0), ``tailed`` by the events after ``since``, and
+    ``reseeded`` from the source, which gives its rows and their lsn, if some of the events are no longer retained.
+    """
+    if since < 0:
+        return *source(), "hydrated"
+    status, events = replay(retained, since, lsn)
+    if status == "TooOld":
+        return *source(), "reseeded"
+    newest = events.agg(F.max(lsn)).first()[0]
+    return applied(snapshot, events, key, lsn), since if newest is None else newest, "tailed"
+
+
 def frontier(events: DataFrame, key: str, lsn: str = "lsn") -> DataFrame:
     """(key, floor, frontier, n): what is retained of each feed."""
     return events.groupBy(key).agg(F.min(lsn).alias("floor"), F.max(lsn).alias("frontier"), F.count("*").alias("n"))

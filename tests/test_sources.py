@@ -4,13 +4,15 @@ import json
 import os
 import struct
 import zlib
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.operators import ingest
 from loomgraph.sources import commit, documents, tables
 from loomgraph.streaming import feed
+from loomgraph.streaming.outbox import Outbox
 
 MAPPING = tables.Mapping("Problem", "title", ("detail", "severity"), ("id",), tags="tags", parents=(("parent_id", "Causes"),))
 ROWS = [(1, "First", "d1", "high", "a,b", None), (2, None, "d2", None, None, "1"), (None, "no key", "d", "low", None, "1"), (3, "x" * 300, None, None, None, "9")]
@@ -243,3 +245,34 @@ def test_feed_is_applied_in_order(spark):
     assert {tuple(r) for r in feed.applied(snapshot, events.unionByName(seed)).collect()} == {("c", 7, "c")}
     assert feed.replay(events, 2)[0] == "TooOld" and [r.lsn for r in feed.replay(events, 5)[1].collect()] == [6, 7]
     assert feed.replay(events.limit(0), 0)[0] == "Fresh"
+
+
+def test_effects_are_claimed_renewed_and_cleaned(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    at = lambda seconds: start + timedelta(seconds=seconds)
+    box = Outbox(commit.Store(spark, str(tmp_path)))
+    assert box.claim("a", start, 10) is None and box.pending(5).count() == 0
+    effects = spark.createDataFrame([("e2", "y"), ("e1", "x"), ("e1", "x")], "effect_id string, payload string")
+    box.add(effects)
+    box.add(effects)
+    assert [r.effect_id for r in box.pending(5).collect()] == ["e1", "e2"]
+    first = box.claim("a", start, 10)
+    assert (first["effect_id"], first["generation"]) == ("e1", 1) and box.claim("b", at(9), 10) is None
+    assert box.renew("e1", "a", at(9), 10) and not box.renew("e1", "b", at(9), 10) and not box.renew("e9", "a", at(9), 10)
+    assert box.claim("b", at(15), 10) is None  # held longer
+    again = box.claim("b", at(20), 10)
+    assert (again["effect_id"], again["generation"]) == ("e1", 2) and not box.acknowledge("e1", "a", at(21)) and not box.renew("e1", "a", at(21), 10)
+    assert not box.clean("e1", 2) and box.acknowledge("e1", "b", at(21)) and not box.acknowledge("e1", "b", at(21))
+    assert [r.effect_id for r in box.cleanups(5).collect()] == ["e1"] and not box.clean("e1", 1) and box.clean("e1", 2) and not box.clean("e1", 2)
+    assert box.cleanups(5).count() == 0 and [r.effect_id for r in box.pending(5).collect()] == ["e2"] and box.claim("b", at(22), 1)["generation"] == 3
+
+
+def test_uneven_log_entries_give_nothing(spark):
+    schema = "entry long, session string, memories array<struct<memory_type:string,title:string,content:string>>, memory_ids array<string>, tags array<array<string>>, links array<struct<from:int,to:int,to_id:string,kind:string>>"
+    draft = ("Fix", "t", "c")
+    rows = [(1, "s", [draft, draft], ["a", "b"], [[" X ", "x"]], [(0, 1, None, "Uses"), (0, 7, None, "Uses"), (-1, 0, None, "Uses"), (1, None, "k", "Fixes")]), (2, "s", [draft], ["c", "d"], None, []), (3, "", None, ["e"], None, None), (4, None, [draft], ["f"], None, None)]
+    nodes, links, dropped = ingest.materialized(spark.createDataFrame(rows, schema), spark.createDataFrame([("k",)], "memory_id string"))
+    found = {r.memory_id: r for r in nodes.collect()}
+    assert {"a", "b", "f"} < set(found) and len(found) == 4 and found["a"].tags == ["x"] and found["b"].tags == [] and found["f"].importance == 0.5
+    assert sorted((r.from_id, r.kind) for r in links.collect()) == [("a", "InSession"), ("a", "Uses"), ("b", "Fixes"), ("b", "InSession")]
+    assert sorted((r.entry, r.reason) for r in dropped.collect()) == [(1, "no end"), (1, "no end"), (2, "uneven"), (3, "uneven")]
