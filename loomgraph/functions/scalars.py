@@ -1,4 +1,8 @@
-"""Scalar functions as Column expressions; every one runs in generated code on the JVM."""
+"""Scalar functions as Column expressions, without Python workers.
+
+Functions of arrays are interpreted by the JVM element by element; for many vectors use the matrix blocks
+of ``loomgraph.operators.vectors``.
+"""
 
 from __future__ import annotations
 
@@ -145,3 +149,30 @@ def provenance_label(kind: Column) -> Column:
 def cell_text(value: Column) -> Column:
     """A JSON cell as text; JSON null is null."""
     return F.when(value == "null", F.lit(None)).otherwise(value)
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """The HMAC-SHA256 of a message's bytes in lower-case hex; null for a null message."""
+    import hashlib
+
+    block = (key if len(key) <= 64 else hashlib.sha256(key).digest()).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def verified(key: bytes, message: Column, signature: Column) -> Column:
+    """Whether a signature is the message's; a missing or empty one is not."""
+    return F.coalesce(F.lower(signature) == hmac_sha256(key, message), F.lit(False))
+
+
+def fnv1a(text: Column) -> Column:
+    """The 64-bit FNV-1a of a text's UTF-8 bytes, as decimal(20,0); decimals hold the products that wrap."""
+    number = lambda digits: F.lit(digits).cast(f"decimal({len(digits)},0)")
+
+    def step(state: Column, byte: Column) -> Column:
+        low = F.pmod(state, F.lit(256)).cast("int")
+        mixed = (state - low + low.bitwiseXOR(F.conv(byte, 16, 10).cast("int"))).cast("decimal(20,0)")
+        return ((mixed * number("1099511628211")) % number("18446744073709551616")).cast("decimal(20,0)")
+
+    digits = F.regexp_extract_all(F.hex(text.cast("binary")), F.lit("(..)"), F.lit(1))
+    return F.aggregate(digits, number("14695981039346656037").cast("decimal(20,0)"), step)

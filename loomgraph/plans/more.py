@@ -15,7 +15,7 @@ from loomgraph.plans.ingestion import change_feed, delta_folder, folder
 from loomgraph.plans.reads import KINDS_SQL, LIVE, RECENT_SQL, RECORDS_SQL, TRIPLES_SQL, VERDICT_SQL, batch_and_recent
 from loomgraph.plans.registry import query
 from loomgraph.schema import kinds_table, triples_table
-from loomgraph.sources import commit, documents, tables
+from loomgraph.sources import commit, documents, leases, tables
 from loomgraph.streaming import feed
 from loomgraph.streaming.outbox import Outbox
 
@@ -138,6 +138,42 @@ def snk_11(spark, d):
     return spark.read.schema("memory_id string").json(f"{path}/memories").agg(F.count("memory_id").alias("n"))
 
 
+@query("SELECT 'first' AS step, CAST(1 AS BIGINT) AS epoch, TRUE AS held UNION ALL SELECT 'second while held', NULL, FALSE UNION ALL SELECT 'second', 2, TRUE UNION ALL SELECT 'late commit', 1, FALSE UNION ALL SELECT 'rows', (SELECT count(*) FROM region), TRUE", plain=True)
+def snk_08(spark, d):
+    """A lease is taken over when it ran out, and its former owner can no longer commit."""
+    store, start = commit.Store(spark, folder()), datetime(2024, 1, 1)
+    held, late = leases.Leases(store), start + timedelta(minutes=2)
+    first = held.acquire("org", "a", start, 60)
+    refused = held.acquire("org", "b", start, 60)
+    second = held.acquire("org", "b", late, 60)
+    try:
+        held.commit(first, late, {"t": table(spark, d, "region")})
+        lost = False
+    except RuntimeError:
+        lost = True
+    held.commit(second, late, {"t": table(spark, d, "region")})
+    steps = [("first", first.epoch, True), ("second while held", None, refused is not None), ("second", second.epoch, True), ("late commit", first.epoch, not lost), ("rows", store.read("t").count(), True)]
+    return spark.createDataFrame(steps, "step string, epoch long, held boolean")
+
+
+SIGNING_KEY = bytes(range(32))
+INNER, OUTER = ("".join(f"\\x{b ^ pad:02X}" for b in SIGNING_KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+
+
+@query(f"SELECT c_custkey, sha256('{OUTER}'::BLOB || unhex(sha256('{INNER}'::BLOB || encode(c_name)))) AS signature, c_custkey % 7 <> 0 AS good FROM customer", plain=True)
+def scl_19(spark, d):
+    """Signed names, of which every seventh was changed afterwards."""
+    signature = scalars.hmac_sha256(SIGNING_KEY, F.col("c_name"))
+    seen = F.when(F.col("c_custkey") % 7 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name"))
+    return table(spark, d, "customer").select("c_custkey", signature.alias("signature"), scalars.verified(SIGNING_KEY, seen, signature).alias("good"))
+
+
+@query()
+def scl_23(spark, d):
+    """The tag hash of each source."""
+    return table(spark, d, "documents").select("source").distinct().select("source", scalars.fnv1a(F.col("source")).alias("hash"))
+
+
 @query("SELECT 'r' || r_regionkey AS effect_id, CASE WHEN r_regionkey = 0 THEN 'cleaned' WHEN r_regionkey = 1 THEN 'acknowledged 3' ELSE 'pending' END AS state FROM region", plain=True)
 def snk_10(spark, d):
     """Effects of a commit: one is delivered and cleaned up, one is delivered by the worker that claimed it again."""

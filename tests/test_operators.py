@@ -222,6 +222,27 @@ def test_scalars(spark):
     assert v(scalars.age_days(F.lit(T0), F.lit(T0 - timedelta(days=2)))) == 0
 
 
+def test_signatures_and_tag_hashes(spark):
+    import hashlib
+    import hmac
+
+    texts = ["", "a", "héllo wörld", "x" * 300, None, "foobar"]
+    for key in (b"k", bytes(range(64)), b"long" * 40):
+        frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scalars.hmac_sha256(key, F.col("t")).alias("s"))
+        for r in frame.select("t", "s", scalars.verified(key, F.col("t"), F.col("s")).alias("good"), scalars.verified(b"other", F.col("t"), F.col("s")).alias("bad"), scalars.verified(key, F.col("t"), F.lit("")).alias("none")).collect():
+            assert r.s == (None if r.t is None else hmac.new(key, r.t.encode(), hashlib.sha256).hexdigest())
+            assert (r.good, r.bad, r.none) == (r.t is not None, False, False)
+
+    def plain(text):
+        h = 14695981039346656037
+        for b in text.encode():
+            h = (h ^ b) * 1099511628211 % 2**64
+        return h
+
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", scalars.fnv1a(F.col("t")).alias("h")).collect():
+        assert r.h == (None if r.t is None else plain(r.t))
+
+
 def test_strings():
     assert resolution.jaro_similarity("martha", "marhta") == pytest.approx(0.944444, abs=1e-6)
     assert resolution.winkler("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import ingest
 from loomgraph.sources import commit, documents, tables
+from loomgraph.sources.leases import Leases
 from loomgraph.streaming import feed
 from loomgraph.streaming.outbox import Outbox
 
@@ -276,3 +277,23 @@ def test_uneven_log_entries_give_nothing(spark):
     assert {"a", "b", "f"} < set(found) and len(found) == 4 and found["a"].tags == ["x"] and found["b"].tags == [] and found["f"].importance == 0.5
     assert sorted((r.from_id, r.kind) for r in links.collect()) == [("a", "InSession"), ("a", "Uses"), ("b", "Fixes"), ("b", "InSession")]
     assert sorted((r.entry, r.reason) for r in dropped.collect()) == [(1, "no end"), (1, "no end"), (2, "uneven"), (3, "uneven")]
+
+
+def test_leases_have_one_owner(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    at = lambda seconds: start + timedelta(seconds=seconds)
+    store = commit.Store(spark, str(tmp_path))
+    held = Leases(store)
+    one, other = held.acquire("k", "a", at(0), 10), held.acquire("j", "b", at(0), 10)
+    assert (one.epoch, other.epoch) == (1, 1) and held.acquire("k", "b", at(5), 10) is None
+    one = held.renew(one, at(8))
+    assert one.until == at(18) and held.acquire("k", "b", at(12), 10) is None
+    two = held.acquire("k", "b", at(18), 10)
+    assert two.epoch == 2 and held.renew(one, at(19)) is None and not held.holds(one, at(19)) and held.holds(two, at(19))
+    held.release(one, at(19))  # lost already: changes nothing
+    assert held.holds(two, at(19))
+    held.commit(two, at(19), {"t": spark.range(3)})
+    with pytest.raises(RuntimeError):
+        held.commit(one, at(19), {"t": spark.range(3)})
+    held.release(two, at(20))
+    assert held.acquire("k", "c", at(20), 10).epoch == 3 and store.read("t").count() == 3
