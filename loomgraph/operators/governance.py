@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -106,8 +106,11 @@ def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(word_vector)
 
 
-def stamped(memories: DataFrame) -> DataFrame:
-    """``memories`` with the vector of title and content, and the model that made it; null if both are empty."""
+def stamped(memories: DataFrame, embedder: Callable[[Column], Column] = embed, model: str = MODEL, revision: str = REVISION) -> DataFrame:
+    """``memories`` with the vector of title and content, and the model that made it; null if both are empty.
+
+    ``embedder`` makes a column of vectors from a column of texts: a Pandas function of batches, or an expression.
+    """
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
-    vector = F.struct(F.struct(F.lit(MODEL).alias("name"), F.lit(REVISION).alias("version")).alias("model"), embed(text).alias("vector"))
+    vector = F.struct(F.struct(F.lit(model).alias("name"), F.lit(revision).alias("version")).alias("model"), embedder(text).alias("vector"))
     return memories.withColumn("embedding", F.when(text.rlike(r"\S"), vector))

@@ -170,9 +170,10 @@ def inverses(edges: DataFrame, kinds: DataFrame) -> DataFrame:
     return edges.unionByName(swapped).dropDuplicates(["rel_id"])
 
 
-def grouping(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Session nodes and InSession edges from (memory_id, session)."""
-    rows = members.where("session IS NOT NULL AND session <> ''")
+def grouping(members: DataFrame, rule: Column | str = "session") -> tuple[DataFrame, DataFrame]:
+    """Session nodes and InSession edges of members with a memory_id; the rule names each member's group, or none."""
+    named = members.select("memory_id", (F.col(rule) if isinstance(rule, str) else rule).alias("session"))
+    rows = named.where("session IS NOT NULL AND session <> ''")
     node = derived_id("session", F.col("session"))
     nodes = rows.groupBy("session").agg(F.count("*").alias("members")).select(node.alias("memory_id"), "session", F.lit("Conversation").alias("memory_type"), "members")
     edges = rows.select(derived_id("edge", F.col("memory_id"), F.lit("InSession"), node).alias("rel_id"), F.col("memory_id").alias("from_id"), node.alias("to_id"), F.lit("InSession").alias("kind"))

@@ -335,14 +335,14 @@ def snk_03(spark, d):
     return store.read("customers").agg(F.count("*").alias("customers")).select("customers", F.lit(store.version()).alias("version"), F.lit(store.read("ledger").count()).alias("batches"))
 
 
-@query("SELECT count(*) FILTER (WHERE memory_type = 'Error') AS audited, count(*) AS rows FROM mem")
+@query("SELECT memory_id, version_lsn, CASE WHEN memory_type = 'Error' THEN 'created' END AS event FROM (SELECT memory_id, memory_type, row_number() OVER (ORDER BY memory_id) AS version_lsn FROM mem)")
 def snk_06(spark, d):
     """A change and its audit rows in one commit."""
     store = commit.Store(spark, folder())
     rows = memories(spark, d).select("memory_id", "memory_type")
     audit = rows.where("memory_type = 'Error'").select("memory_id", F.lit("created").alias("event"))
     store.append("memories", rows, ["memory_id"], audit=audit)
-    return store.read("audit").agg(F.count("*").alias("audited")).join(store.read("memories").agg(F.count("*").alias("rows")), F.lit(True))
+    return store.read("memories").join(store.read("audit"), "memory_id", "left").select("memory_id", "version_lsn", "event")
 
 
 @query("SELECT session FROM (SELECT DISTINCT session FROM mem) WHERE CAST(substr(session, 2) AS INT) % 3 <> 0")

@@ -54,14 +54,14 @@ def src_10(spark, d):
     return documents.mapped_changes(events, "t", ["id"]).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS commits, count(*) FILTER (WHERE doc_id % 9 = 0) AS bad FROM documents", plain=True)
+@query("SELECT CASE WHEN doc_id % 9 = 0 THEN 'cut off' ELSE 'sha' || doc_id END AS sha, doc_id % 9 <> 0 AS good, CASE WHEN doc_id % 9 <> 0 THEN [source] ELSE [] END AS files FROM documents", plain=True)
 def src_11(spark, d):
-    whole = F.concat_ws("\x1f", F.concat(F.lit("sha"), "doc_id"), F.lit("a"), F.lit("e"), F.lit("2024-01-01T00:00:00Z"), F.lit("s"), F.lit("b"), F.lit("\nf"))
+    whole = F.concat_ws("\x1f", F.concat(F.lit("sha"), "doc_id"), F.lit("a"), F.lit("e"), F.lit("2024-01-01T00:00:00Z"), F.lit("s"), F.lit("b"), F.concat(F.lit("\n"), "source"))
     log = documents.git_log(table(spark, d, "documents").select(F.when(F.col("doc_id") % 9 == 0, "cut off").otherwise(whole).alias("value")))
-    return log.agg(F.count("*").alias("commits"), F.count_if(~F.col("good")).alias("bad"))
+    return log.select("sha", "good", "files")
 
 
-@query("SELECT (SELECT count(*) FROM supplier) AS records, (SELECT count(*) FROM supplier WHERE s_suppkey > 0) AS pairs", plain=True)
+@query("SELECT 's' || s_suppkey AS a, 's' || (s_suppkey - 1) AS b, 'match' AS label, s_name AS name FROM supplier WHERE s_suppkey > 0", plain=True)
 def src_16(spark, d):
     path = folder()
     rows = records(spark, d).where("id LIKE 's%'")
@@ -69,39 +69,39 @@ def src_16(spark, d):
     number = F.substring("id", 2, 9).cast("long")
     rows.where(number > 0).select("id", F.concat(F.lit("s"), number - 1).alias("b")).select(F.col("id").alias("a"), "b", F.lit("match").alias("label")).write.mode("overwrite").json(f"{path}/p")
     corpus, pairs = tables.resolution_corpus(spark, f"{path}/c", f"{path}/p")
-    return corpus.agg(F.count("*").alias("records")).join(pairs.agg(F.count("*").alias("pairs")), F.lit(True))
+    return pairs.join(corpus.select(F.col("id").alias("a"), "name"), "a").select("a", "b", "label", "name")
 
 
-@query("SELECT count(*) AS n, max(event_id) AS frontier FROM events", plain=True)
+@query("SELECT user_id AS key, event_id AS lsn, event_type AS state FROM events", plain=True)
 def src_18(spark, d):
     """A subscription to the change feed, read to its end."""
     path, out = folder(), folder()
     change_feed(spark, d).write.mode("overwrite").parquet(path)
     feed.stream_of(spark, path, "key long, lsn long, state string, op string", 4).writeStream.format("parquet").option("path", out).option("checkpointLocation", folder()).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("lsn long").parquet(out).agg(F.count("*").alias("n"), F.max("lsn").alias("frontier"))
+    return spark.read.schema("key long, lsn long, state string").parquet(out)
 
 
 EXPORTED = {"memories": "memory_id string, memory_type string", "edges": "rel_id string, from_id string, to_id string"}
 
 
-@query("SELECT (SELECT count(*) FROM mem) AS memories, (SELECT count(*) FROM edge WHERE to_id IN (SELECT memory_id FROM mem)) AS edges")
+@query("SELECT rel_id, from_id, to_id, memory_type FROM edge JOIN mem ON memory_id = from_id WHERE to_id IN (SELECT memory_id FROM mem)")
 def src_19(spark, d):
     """A backup written and read again, with its edges' ends checked."""
     path = folder()
     nodes = memories(spark, d)
     commit.export({"memories": nodes.select("memory_id", "memory_type"), "edges": graph.within(edges(spark, d), nodes).select("rel_id", "from_id", "to_id")}, path)
     parts = commit.restored(spark, path, EXPORTED, "v", "v")
-    return parts["memories"].agg(F.count("*").alias("memories")).join(parts["edges"].agg(F.count("*").alias("edges")), F.lit(True))
+    return parts["edges"].join(parts["memories"].withColumnRenamed("memory_id", "from_id"), "from_id").select("rel_id", "from_id", "to_id", "memory_type")
 
 
 # --- sinks ------------------------------------------------------------------------------------
 
 
-@query("SELECT 1 AS version, count(*) AS n FROM nation", plain=True)
+@query("SELECT 1 AS version, n_nationkey, n_name FROM nation", plain=True)
 def snk_02(spark, d):
     store = commit.Store(spark, folder())
     store.commit({"nation": table(spark, d, "nation")}, expected=0)
-    return store.read("nation").agg(F.count("*").alias("n")).select(F.lit(store.version()).alias("version"), "n")
+    return store.read("nation").select(F.lit(store.version()).alias("version"), "n_nationkey", "n_name")
 
 
 @query("SELECT TRUE AS refused, count(*) AS n FROM region", plain=True)
@@ -131,11 +131,11 @@ def snk_09(spark, d):
     return governance.accepted(rows, rows.where("from_id LIKE '%1'").select("discovery_id"))[1].select("discovery_id", "state")
 
 
-@query("SELECT (SELECT count(*) FROM mem) AS n")
+@query("SELECT memory_id, title FROM mem")
 def snk_11(spark, d):
     path = folder()
     commit.export({"memories": memories(spark, d).select("memory_id", "title")}, path)
-    return spark.read.schema("memory_id string").json(f"{path}/memories").agg(F.count("memory_id").alias("n"))
+    return spark.read.schema("memory_id string, title string").json(f"{path}/memories")
 
 
 @query("SELECT 'first' AS step, CAST(1 AS BIGINT) AS epoch, TRUE AS held UNION ALL SELECT 'second while held', NULL, FALSE UNION ALL SELECT 'second', 2, TRUE UNION ALL SELECT 'late commit', 1, FALSE UNION ALL SELECT 'rows', (SELECT count(*) FROM region), TRUE", plain=True)
@@ -174,6 +174,37 @@ def scl_23(spark, d):
     return table(spark, d, "documents").select("source").distinct().select("source", scalars.fnv1a(F.col("source")).alias("hash"))
 
 
+@query(r"SELECT memory_id, CASE WHEN regexp_matches(t, '\S') THEN 'length' END AS model, CASE WHEN regexp_matches(t, '\S') THEN CAST(length(t) AS DOUBLE) END AS size FROM (SELECT memory_id, coalesce(title, '') || chr(10) || coalesce(content, '') AS t FROM mem)")
+def udf_04(spark, d):
+    """Another embedder than the built-in one: any function from texts to vectors."""
+    done = governance.stamped(memories(spark, d), lambda text: F.array(F.char_length(text).cast("double")), "length", "1")
+    return done.select("memory_id", F.col("embedding.model.name").alias("model"), F.get("embedding.vector", F.lit(0)).alias("size"))
+
+
+@query("SELECT project || ':' || team AS session, count(*) AS members FROM mem WHERE team <> 't1' GROUP BY 1")
+def udf_05(spark, d):
+    """Another rule of groups than sessions."""
+    rule = F.when(F.col("team") != "t1", F.concat_ws(":", "project", "team"))
+    return ingest.grouping(memories(spark, d), rule)[0].select("session", "members")
+
+
+@query("SELECT memory_id, list_sort(list_intersect(e, ['e3', 'f5', 'x'])) AS common, list_sort(list_distinct(list_concat(e, ['e3', 'f5', 'x']))) AS either FROM (SELECT memory_id, entities AS e FROM mem)")
+def set_05(spark, d):
+    """What two token sets share and have together."""
+    other = F.array(*[F.lit(x) for x in ("e3", "f5", "x")])
+    return memories(spark, d).select("memory_id", F.array_sort(F.array_intersect("entities", other)).alias("common"), F.array_sort(F.array_union("entities", other)).alias("either"))
+
+
+@query("SELECT event_id AS lsn, event_type AS state FROM events", plain=True)
+def str_02(spark, d):
+    """A feed in micro-batches of one file of at most 256 messages each."""
+    path, out, most = folder(), folder(), 256
+    change_feed(spark, d).repartitionByRange(8, "lsn").write.option("maxRecordsPerFile", most).parquet(path)
+    batches = feed.stream_of(spark, path, "key long, lsn long, state string, op string", 1)
+    batches.select("lsn", "state").writeStream.format("parquet").option("path", out).option("checkpointLocation", folder()).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("lsn long, state string").parquet(out)
+
+
 @query("SELECT 'r' || r_regionkey AS effect_id, CASE WHEN r_regionkey = 0 THEN 'cleaned' WHEN r_regionkey = 1 THEN 'acknowledged 3' ELSE 'pending' END AS state FROM region", plain=True)
 def snk_10(spark, d):
     """Effects of a commit: one is delivered and cleaned up, one is delivered by the worker that claimed it again."""
