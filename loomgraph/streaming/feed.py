@@ -21,7 +21,8 @@ OPERATIONS = ["MemoryUpserted", "MemoryDeleted", "RelationshipUpserted", "Relati
 def applied(snapshot: DataFrame, events: DataFrame, key: str = "key", lsn: str = "lsn") -> DataFrame:
     """The snapshot after events: the newest lsn of a key wins, a deletion removes it.
 
-    A reseed drops every row and event that is older.  Both sides have the same columns besides op.
+    A reseed drops every row and event that is older.  Both sides have the same columns besides op.  An lsn
+    names one change of a key; of two with the same one either may win.
     """
     columns = snapshot.columns
     seed = events.where("op = 'GraphReseed'").agg(F.max(lsn).alias("_seed"))
@@ -72,7 +73,8 @@ def gate(events: DataFrame, key: str = "org", lsn: str = "lsn", first: int = 0,
     """A stream of (org, lsn, status): lsns in order, held back until the ones before have come.
 
     ``released`` is the next in order, ``stale`` was there before, and ``gap`` says that the missing
-    ones did not come in time: subscribe again from there.  Without ``wait_ms`` there is no such time;
+    ones did not come in time: subscribe again from there.  A feed's state holds the lsns that wait, which
+    are as many as come before a missing one: give ``wait_ms`` where that can last.  Without ``wait_ms`` there is no such time;
     a query with one keeps running batches, so it needs a trigger that is stopped from outside.
     """
 
