@@ -38,9 +38,15 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def filesystem(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it names it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark._jsc.sc().hadoopConfiguration()), target
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = filesystem(spark, path)
+    fs.delete(target, True)
 
 
 class Steps:
