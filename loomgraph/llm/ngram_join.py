@@ -226,6 +226,7 @@ def ngram_jaccard_components(
     of_classes = of_classes.join(final.toDF("part", "whole"), "part", "left").withColumn("whole", F.coalesce("whole", "part"))
     smallest = of_classes.groupBy("whole").agg(F.min("rep").alias("component_id"))
     of_classes = scratch.write("of-classes", of_classes.join(smallest, "whole").select("digest", "component_id"))
+    scratch.keep("sets", "of-classes")
     found = known.select("id", "n", "digest").join(of_classes, "digest").select("id", "n", "component_id")
     alone = sets.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return found.unionByName(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")

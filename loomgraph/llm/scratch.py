@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.session import remove, shared_folder
+from loomgraph.session import filesystem, remove, shared_folder
 
 
 class Scratch:
@@ -34,6 +34,13 @@ class Scratch:
         for name in names:
             remove(self.spark, f"{self.root}/{name}")
 
+    def keep(self, *names: str) -> None:
+        """Remove all tables but those that the result still reads."""
+        fs, root = filesystem(self.spark, self.root)
+        for entry in fs.listStatus(root) if fs.exists(root) else []:
+            if entry.getPath().getName() not in names:
+                fs.delete(entry.getPath(), True)
+
     def close(self) -> None:
         try:
             remove(self.spark, self.root)
