@@ -78,4 +78,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = scratch.write(f"stage-{k}", docs)
+            scratch.keep(f"stage-{k}")
     return docs
