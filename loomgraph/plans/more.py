@@ -15,6 +15,7 @@ from loomgraph.plans.ingestion import change_feed, delta_folder, folder
 from loomgraph.plans.reads import KINDS_SQL, LIVE, RECENT_SQL, RECORDS_SQL, TRIPLES_SQL, VERDICT_SQL, batch_and_recent
 from loomgraph.plans.registry import query
 from loomgraph.schema import kinds_table, triples_table
+from loomgraph.session import filesystem
 from loomgraph.sources import commit, documents, leases, tables
 from loomgraph.streaming import feed
 from loomgraph.streaming.outbox import Outbox
@@ -34,6 +35,72 @@ def src_05(spark, d):
     return tables.delta_table(spark, delta_folder(spark, d)).groupBy("part").agg(F.count("*").alias("n"))
 
 
+def _avro_long(n: int) -> bytes:
+    n, out = (n << 1) ^ (n >> 63), b""
+    while n > 0x7F:
+        out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+    return out + bytes([n])
+
+
+def _avro_text(value: str | bytes) -> bytes:
+    data = value if isinstance(value, bytes) else value.encode()
+    return _avro_long(len(data)) + data
+
+
+def _avro_file(spark, path: str, schema: dict, rows: list[bytes]) -> None:
+    """An Avro file with one plain block of encoded records."""
+    mark, body = bytes(range(16)), b"".join(rows)
+    head = b"Obj\x01" + _avro_long(1) + _avro_text("avro.schema") + _avro_text(json.dumps(schema)) + _avro_long(0)
+    _write(spark, path, head + mark + _avro_long(len(rows)) + _avro_long(len(body)) + body + mark)
+
+
+def _write(spark, path: str, data: bytes) -> None:
+    fs, target = filesystem(spark, path)
+    stream = fs.create(target, True)
+    stream.write(data)
+    stream.close()
+
+
+def iceberg_folder(spark, d) -> str:
+    """An Iceberg table of suppliers by part, of which the manifest names one file as deleted."""
+    path = folder()
+    rows, entries = table(spark, d, "supplier").select("s_suppkey", "s_name"), []
+    for part, keep, status in (("a", "s_suppkey % 3 = 0", 1), ("b", "s_suppkey % 3 = 1", 0), ("b", "s_suppkey % 3 = 1 AND s_suppkey < 5", 2), ("c", "s_suppkey % 3 = 2", 1)):
+        place = f"{path}/data/{len(entries)}"
+        rows.where(keep).coalesce(1).write.parquet(place)
+        names = [f.getPath().getName() for f in tables._listed(spark, place)]
+        name = next(n for n in names if n.startswith("part-"))
+        entries.append(_avro_long(status) + _avro_text(f"s3://t/data/{len(entries)}/{name}") + _avro_text("PARQUET") + _avro_text(part))
+    field = lambda name, kind: {"name": name, "type": kind}
+    record = lambda name, *fields: {"type": "record", "name": name, "fields": list(fields)}
+    file = record("file", field("file_path", "string"), field("file_format", "string"), field("partition", record("values", field("part", "string"))))
+    _avro_file(spark, f"{path}/metadata/manifest.avro", record("entry", field("status", "int"), field("data_file", file)), entries)
+    _avro_file(spark, f"{path}/metadata/list.avro", record("listed", field("manifest_path", "string"), field("content", "int")), [_avro_text("s3://t/metadata/manifest.avro") + _avro_long(0)])
+    fields = [{"id": n, "name": name, "type": kind} for n, (name, kind) in enumerate((("s_suppkey", "long"), ("s_name", "string"), ("part", "string")), 1)]
+    meta = {"location": "s3://t", "schemas": [{"schema-id": 0, "fields": fields}], "current-schema-id": 0, "current-snapshot-id": 7, "snapshots": [{"snapshot-id": 7, "manifest-list": "s3://t/metadata/list.avro"}], "partition-specs": [{"fields": [{"name": "part", "transform": "identity", "source-id": 3}, {"name": "bucket", "transform": "bucket[4]", "source-id": 1}]}]}
+    _write(spark, f"{path}/metadata/v1.metadata.json", json.dumps(meta).encode())
+    return path
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, ['a', 'b', 'c'][CAST(s_suppkey % 3 + 1 AS INT)] AS part FROM supplier", plain=True)
+def src_06(spark, d):
+    """The live files of an Iceberg table's current snapshot, with their partition values."""
+    return tables.iceberg_table(spark, iceberg_folder(spark, d))
+
+
+@query("SELECT 'part' AS name, TRUE AS mapped UNION ALL SELECT 'bucket', FALSE UNION ALL SELECT 's_name', TRUE", plain=True)
+def src_07(spark, d):
+    """Which columns a mapping may use: not those that exist only behind a transform."""
+    state, out = tables.iceberg_state(spark, iceberg_folder(spark, d)), []
+    for name in ("part", "bucket", "s_name"):
+        try:
+            tables.check_iceberg_mapping(tables.Mapping("Fix", name, (name,), ("s_suppkey",)), state, ["bucket", "part"])
+            out.append((name, True))
+        except ValueError:
+            out.append((name, False))
+    return spark.createDataFrame(out, "name string, mapped boolean")
+
+
 @query("SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1", plain=True)
 def src_08(spark, d):
     """Change lines from a stream of files."""
