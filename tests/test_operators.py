@@ -271,6 +271,28 @@ def test_resolution_from_labels_to_decisions(spark):
         resolution.estimate(labelled.where("label = 'match'"))
 
 
+def test_partners_are_counted_without_forming_pairs(spark):
+    import random
+
+    from loomgraph.functions.scalars import blocking_keys
+
+    g = random.Random(5)
+    names = [" ".join(g.choice(["Acme", "Bolt", "Cord", "Dyne", "Echo"]) + g.choice(["", "x", "y"]) for _ in range(g.randint(1, 4))) for _ in range(120)]
+    corpus = spark.createDataFrame([(f"r{i % 110}", n, {"city": g.choice(["Rome", "Oslo"])} if i % 3 else None) for i, n in enumerate(names)], "id string, name string, attributes map<string,string>")
+    keys = {}
+    for r in corpus.select("id", blocking_keys(F.col("name"), F.col("attributes")).alias("k")).collect():
+        keys.setdefault(r.id, set()).update(r.k)
+    later = {a: [b for b in keys if b > a and keys[a] & keys[b]] for a in keys}
+    expected = sorted((a, len(b), min(b), max(b)) for a, b in later.items() if b)
+    for most in (8, 3, 1):  # by sets of keys, mixed, and by pairs
+        assert sorted(tuple(r) for r in resolution.partners(corpus, most).collect()) == expected
+
+    n = 60_000  # one hot key: 1.8 billion pairs
+    hot = spark.range(n).select(F.format_string("r%06d", "id").alias("id"), F.concat(F.lit("supplier"), "id").alias("name"), F.lit(None).cast("map<string,string>").alias("attributes"))
+    row = resolution.partners(hot).agg(F.sum("partners").alias("pairs"), F.max("partners").alias("most"), F.min("last").alias("last")).first()
+    assert (row.pairs, row.most, row["last"]) == (n * (n - 1) // 2, n - 1, f"r{n - 1:06d}")
+
+
 def test_candidates_and_vector_pairs_equal_brute_force_in_blocks(spark):
     import random
     from itertools import combinations
