@@ -264,11 +264,11 @@ def set_05(spark, d):
 
 @query("SELECT event_id AS lsn, event_type AS state FROM events", plain=True)
 def str_02(spark, d):
-    """A feed in micro-batches of one file of at most 256 messages each."""
+    """A feed of one file a trigger, published at most 256 messages at a time."""
     path, out, most = folder(), folder(), 256
-    change_feed(spark, d).repartitionByRange(8, "lsn").write.option("maxRecordsPerFile", most).parquet(path)
+    change_feed(spark, d).repartitionByRange(8, "lsn").sortWithinPartitions("lsn").write.parquet(path)
     batches = feed.stream_of(spark, path, "key long, lsn long, state string, op string", 1)
-    batches.select("lsn", "state").writeStream.format("parquet").option("path", out).option("checkpointLocation", folder()).trigger(availableNow=True).start().awaitTermination()
+    feed.published(batches.select("lsn", "state"), most).writeStream.format("parquet").option("path", out).option("checkpointLocation", folder()).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("lsn long, state string").parquet(out)
 
 

@@ -8,9 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
 from loomgraph.sources.commit import Store
 
@@ -103,6 +106,36 @@ def gate(events: DataFrame, key: str = "org", lsn: str = "lsn", first: int = 0,
     return events.select(F.col(key).cast("string").alias("org"), F.col(lsn).cast("long").alias(lsn)).groupBy("org").applyInPandasWithState(step, "org string, lsn long, status string", GATE_STATE, "append", GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
+#: Fixed value: messages that are published together.
+MOST_PUBLISHED = 256
+
+
+def published(events: DataFrame, most: int = MOST_PUBLISHED) -> DataFrame:
+    """``events`` with the publish that each is sent in: in their order, at most ``most`` at a time.
+
+    A task sends one publish after the other, so the triggers of a stream do not have to be as small as a
+    publish.  Its name is of the trigger, the task's partition and a number: a trigger that is repeated gives the same.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name, number, held = f"{task.getLocalProperty('streaming.sql.batchId') or 0}-{task.partitionId()}", 0, None
+
+        def one(rows: pa.Table) -> pa.RecordBatch:
+            return rows.append_column("publish", pa.array([f"{name}-{number}"] * rows.num_rows)).combine_chunks().to_batches()[0]
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            while held.num_rows >= most:
+                yield one(held.slice(0, most))
+                held, number = held.slice(most), number + 1
+        if held is not None and held.num_rows:
+            yield one(held)
+
+    return events.mapInArrow(send, StructType([*events.schema.fields, StructField("publish", StringType())]))
+
+
 def apply_stream(events: DataFrame, store: Store, table: str, checkpoint: str):
     """A running query that adds each micro-batch of events to the store's table, each batch once.
 

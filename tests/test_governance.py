@@ -55,3 +55,17 @@ def test_gate_reports_a_gap(spark, tmp_path):
     finally:
         query.stop()
     assert {(0, "released"), (0, "stale"), (1, "gap")} <= got and (2, "released") not in got
+
+
+def test_publishes_are_bounded_whatever_the_size_of_a_trigger(spark, tmp_path):
+    places = [str(tmp_path / name) for name in ("in", "out", "checkpoint")]
+    spark.range(70_000).selectExpr("id AS lsn", "CAST(id % 3 AS STRING) AS state").repartitionByRange(2, "lsn").sortWithinPartitions("lsn").write.parquet(places[0])
+    sent = feed.published(feed.stream_of(spark, places[0], "lsn long, state string", 1))
+    query = sent.writeStream.format("parquet").option("path", places[1]).option("checkpointLocation", places[2]).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] < 4  # 274 with a trigger for each publish
+    found = spark.read.parquet(places[1])
+    sizes = found.groupBy("publish").agg(F.count("*").alias("n"), F.min("lsn").alias("low"), F.max("lsn").alias("high")).collect()
+    assert max(r.n for r in sizes) == 256 and sum(r.n < 256 for r in sizes) <= 2
+    assert all(r.high - r.low == r.n - 1 for r in sizes)
+    assert found.select("lsn").distinct().count() == found.count() == 70_000
