@@ -249,6 +249,22 @@ def test_strings():
     assert resolution.jaro_similarity("", "") == 1.0 and resolution.jaro_similarity("a", "") == 0.0
 
 
+def test_transpositions_are_whole_pairs_as_in_sql():
+    import random
+
+    import duckdb
+
+    assert resolution.jaro_similarity("Supplier#000000204", "SUPPLIER#000000042") == pytest.approx((1 + 1 + 17 / 18) / 3)
+    g = random.Random(8)
+    pairs = [tuple("".join(g.choice("abAB01#") for _ in range(g.randint(0, 14))) for _ in "xy") for _ in range(3000)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pairs (x VARCHAR, y VARCHAR)")
+    con.executemany("INSERT INTO pairs VALUES (?, ?)", pairs)
+    for x, y, jaro, jw in con.execute("SELECT x, y, jaro_similarity(lower(x), lower(y)), jaro_winkler_similarity(lower(x), lower(y)) FROM pairs WHERE x <> '' AND y <> ''").fetchall():
+        assert resolution.jaro_similarity(x, y) == pytest.approx(jaro, abs=1e-9), (x, y)
+        assert resolution.winkler(x, y) == pytest.approx(jw, abs=1e-9), (x, y)
+
+
 CORPUS = [("1", "Acme Corp", {"city": "Berlin"}), ("2", "ACME corporation", {"city": "Berlin"}), ("3", "Zenith Ltd", {"city": "Paris"}), ("4", "Zenith", {"city": "Paris"}), ("5", "Omega", {})]
 PAIRS = [("1", "2", "match"), ("3", "4", "match"), ("1", "3", "non_match"), ("2", "4", "non_match"), ("1", "5", "non_match")]
 
